@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat, matroska, mixing, urls
+from . import chat, dac, lshforest, matroska, mixing, packing, urls
 from .common import read_table
 
 
@@ -15,6 +14,25 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.store(read_table(spark, sf_dir, "documents")))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file on this machine, as on each executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.classes(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(read_table(spark, sf_dir, "documents"))
 
@@ -29,8 +47,11 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
+    "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_lsh_forest": op3_lsh_forest,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op7_url_trees": op7_url_trees,
+    "op9_token_dac": op9_token_dac,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
 ORACLE_SQL: dict[str, str] = {"op10_chat_snapshots": chat.ORACLE_SQL}
