@@ -194,7 +194,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
     spark = docs.sparkSession
     d = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).withColumn("h", F.xxhash64("t"))
     d = d.repartitionByRange(shuffle_partitions(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
-    lines = d.mapInArrow(shard, "part int, number int, path string, n_docs long, n_ids long").collect()
+    lines = d.mapInArrow(shard, "part long, number long, path string, n_docs long, n_ids long").collect()
     return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(lines)]
 
 
