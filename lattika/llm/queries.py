@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dac, lshforest, matroska, mixing, packing, urls
+from . import chat, dac, embeddings, lshforest, matroska, mixing, packing, toxicity, urls, wrappers
 from .common import read_table
 
 
@@ -29,6 +29,18 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.classes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def op9_token_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -49,8 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_weak_supervision": op4_weak_supervision,
     "op5_pfair_mixing": op5_pfair_mixing,
+    "op6_pca_tiles": op6_pca_tiles,
     "op7_url_trees": op7_url_trees,
+    "op8_wrappers": op8_wrappers,
     "op9_token_dac": op9_token_dac,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
