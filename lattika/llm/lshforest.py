@@ -301,7 +301,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     links = scratch.cut(confirmed(texts, families, percent), "links")
     joined = components(links, scratch)
     byset = reps.select("digest", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
-    out = rows.join(byset, "digest", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
+    out = rows.join(byset, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -79,25 +79,28 @@ def lace(frames: list[bytes], kind: int) -> bytes:
 
 
 def write_samples(payload: bytes, rate: int = RATE, frame: int = FRAME, laced: int = LACED, blocks: int = BLOCKS) -> bytes:
-    """A Matroska file with the payload as unsigned 8-bit mono PCM, lossless, with cues for every cluster."""
-    scale = 1_000_000
-    info = element(INFO, uint(TIMESTAMP_SCALE, scale) + float64(DURATION, len(payload) * 1000 / rate) + element(MUXING_APP, b"lattika") + element(WRITING_APP, b"lattika"))
+    """A Matroska file with the payload as unsigned 8-bit mono PCM, lossless, with cues for every cluster.
+
+    A timestamp tick is one sample, so packets' times are exact; clusters end where a block's offset would
+    exceed 16 bits.
+    """
+    info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000_000 // rate) + float64(DURATION, len(payload)) + element(MUXING_APP, b"lattika") + element(WRITING_APP, b"lattika"))
     audio = element(AUDIO, float64(SAMPLING_FREQUENCY, rate) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
     track = element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, frame * 1_000_000_000 // rate) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio)
     parts, at, cues = [info, element(TRACKS, track)], 0, []
     at = sum(map(len, parts))
     step = frame * laced
-    for k, c in enumerate(range(0, len(payload), step * blocks)):
-        start = c * 1000 // rate
-        body = [uint(TIMESTAMP, start)]
+    blocks = min(blocks, 32_767 // step + 1)
+    for c in range(0, len(payload), step * blocks):
+        body = [uint(TIMESTAMP, c)]
         for b in range(c, min(c + step * blocks, len(payload)), step):
             frames = [payload[f : f + frame] for f in range(b, min(b + step, len(payload)), frame)]
             even = len(frames) == laced and len(frames[-1]) == frame
             kind = NO_LACING if len(frames) == 1 else (FIXED if b // step % 2 == 0 else EBML_LACING) if even else XIPH
-            head = vint(1) + (b * 1000 // rate - start).to_bytes(2, "big", signed=True) + bytes([0x80 | kind_bits(kind)])
+            head = vint(1) + (b - c).to_bytes(2, "big", signed=True) + bytes([0x80 | kind_bits(kind)])
             body.append(element(SIMPLE_BLOCK, head + lace(frames, kind)))
         cluster = element(CLUSTER, b"".join(body))
-        cues.append(element(CUE_POINT, uint(CUE_TIME, start) + element(CUE_TRACK_POSITIONS, uint(CUE_TRACK, 1) + uint(CUE_CLUSTER_POSITION, at))))
+        cues.append(element(CUE_POINT, uint(CUE_TIME, c) + element(CUE_TRACK_POSITIONS, uint(CUE_TRACK, 1) + uint(CUE_CLUSTER_POSITION, at))))
         parts.append(cluster)
         at += len(cluster)
     parts.append(element(CUES, b"".join(cues)))
@@ -310,7 +313,7 @@ def feature_of(media: Media, samples: bytes) -> str:
     for p in media.packets:
         laces[p[5]] += 1
     crossings = int(np.count_nonzero((middle[1:] >= 0) != (middle[:-1] >= 0)))
-    return f"packets={len(media.packets)};clusters={media.clusters};cues={len(media.cues)};lacing={'/'.join(map(str, laces))};ms={media.duration:.0f};mean={x.mean():.4f};std={x.std():.4f};crossings={crossings}"
+    return f"packets={len(media.packets)};clusters={media.clusters};cues={len(media.cues)};lacing={'/'.join(map(str, laces))};ms={media.duration * media.scale / 1e6:.0f};mean={x.mean():.4f};std={x.std():.4f};crossings={crossings}"
 
 
 def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:

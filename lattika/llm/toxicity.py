@@ -315,9 +315,8 @@ def usable(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "toxic").filter(f"doc_id is not null and not ({HELD_OUT})")
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The columns asked for (doc_id), with score and predicted, of every row. A null text counts as empty."""
-    columns = columns or ["doc_id"]
+def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """The columns asked for as _0, _1, ..., with _score and _predicted, of every row. A null text counts as empty."""
     kinds = [docs.schema[c] for c in columns]
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -333,19 +332,19 @@ def scored(docs: DataFrame, model: Model, columns: list[str] | None = None) -> D
             score = np.round(score, 9)
             yield pa.record_batch([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out.names)
 
-    d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], F.col("text").alias("_text")).mapInArrow(run, out)
-    return d.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)], F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], F.col("text").alias("_text")).mapInArrow(run, out)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; a row without doc_id is not held out."""
     model = fit(docs, usable(labels))
     held = F.coalesce(F.expr(HELD_OUT), F.lit(False))
-    return scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    got = scored(docs, model, ["doc_id"]).select(F.col("_0").alias("doc_id"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return got.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier calls toxic."""
     model = fit(docs, usable(labels))
     names = docs.columns
-    return scored(docs, model, names).filter("predicted = 0").select(*names)
+    return scored(docs, model, names).filter("_predicted = 0").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
