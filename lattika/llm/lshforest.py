@@ -295,9 +295,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     rest = scratch.cut(left_over(near.filter("b is null"), found, reps, scratch), "rest")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(rest)
     families = scratch.cut(components(edges, scratch), "families")
-    # One text per representative of a family: the row whose digest and id are the representative's.
+    # The texts of the families' representatives, each once however often its row is repeated.
     wanted = reps.select("id").join(families.select(F.col("node").alias("id")), "id", "left_semi")
-    texts = d.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    texts = d.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct()
     links = scratch.cut(confirmed(texts, families, percent), "links")
     joined = components(links, scratch)
     byset = reps.select("digest", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))

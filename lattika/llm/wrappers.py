@@ -40,10 +40,12 @@ MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "articlebody", "content
 #: Words that keep an article inside their element from being the page's own.
 FOREIGN_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "related", "responses", "teaser", "sidebar", "widget", "promo", "ad", "ads", "advert"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
+#: The last form of a tag is one whose quotes don't pair up.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^>]*)(?:>|$))|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-SAME_PAGES = 5
-"""Pages that a host must have before a text on all of them counts as the template's."""
+SAME_PAGES, DEEPEST, TABLE, PERIOD = 5, 60, 250_000, 6
+"""Pages that a host must have before a text on all of them counts as the template's; the depth below which elements count as
+their ancestor's; cells of an alignment table, beyond which lists are joined by name; the longest repeated group."""
 
 
 class Node:
@@ -74,7 +76,7 @@ class Node:
         self.off = off or (parent is not None and parent.off and not astray)
         kept = tuple(x for x in above if x != "<main>") if astray else above
         marks = (("!",) if off and (words & FOREIGN_WORDS or tag == "aside") and tag not in MAIN_TAGS and (words & {"comment", "comments", "commentlist", "disqus", "replies", "reply", "related", "responses"} or tag == "aside") else ()) + (("<main>",) if self.main and not self.off else ())
-        self.path = (*kept, label, *marks)
+        self.path = (*kept, label, *marks) if len(kept) < DEEPEST else (*kept, *(x for x in marks if x not in kept))
 
 
 def parse(page: str | None) -> Iterator[tuple]:
@@ -117,7 +119,7 @@ def parse(page: str | None) -> Iterator[tuple]:
                     break
                 if stack[i].tag in STOPS and not (tag in ("td", "th", "tr") and stack[i].tag in ("td", "th")):
                     break
-        node = Node(tag, m[3], stack[-1] if stack else None)
+        node = Node(tag, m[3] or m[4] or "", stack[-1] if stack else None)
         if tag in VOID or m[0].endswith("/>") and tag in ("svg", "path"):
             if tag in ("br", "hr"):
                 yield "break", stack[-1] if stack else None
@@ -135,15 +137,15 @@ def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
     out: list[tuple[Node | None, str, int]] = []
     part: list[str] = []
     owner: Node | None = None
-    linked, links = 0, 0
+    linked, links, blank = 0, 0, True
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, blank
         words = " ".join(entities.unescape("".join(part)).split())
         if words:
             out.append((owner, words, linked))
         part.clear()
-        linked = 0
+        linked, blank = 0, True
 
     for step in parse(page):
         what, node = step[0], step[1]
@@ -151,8 +153,8 @@ def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
             off = node.off if node else False
             if part and (owner.off if owner else False) != off:
                 end()
-            if not part or not "".join(part).strip():
-                owner = node
+            if blank:
+                owner, blank = node, not step[2].strip()
             part.append(step[2])
             if links:
                 linked += len(step[2].strip())
@@ -179,7 +181,7 @@ def tree(page: str | None) -> list:
             if step[2].strip() and (not stack[-1][2] or stack[-1][2][-1][0] != "#"):
                 stack[-1][2].append(["#", "", []])
         elif step[0] == "open":
-            if step[1].tag in INLINE:
+            if step[1].tag in INLINE or len(stack) > DEEPEST:
                 if not stack[-1][2] or stack[-1][2][-1][0] != "#":
                     stack[-1][2].append(["#", "", []])
                 stack.append(["", "", []])
@@ -199,23 +201,51 @@ def join_marks(a: str, b: str) -> str:
     return "*" if option and repeat else "?" if option else "+" if repeat else ""
 
 
+def joined(one: list, two: list, mark: str) -> list:
+    """Two items of one name as one."""
+    return [one[0], "" if one[0] == "#" else join_marks(join_marks(one[1], two[1]), mark), one[2] if one[2] == two[2] else align(one[2], two[2])]
+
+
 def collapse(items: list) -> list:
-    """Neighbours of one name become one repeated item, aligned inside."""
+    """Neighbours of one name become one repeated item; runs of a few names that recur become a repeated group, named `()`."""
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
-            before = out[-1]
-            out[-1] = [item[0], "" if item[0] == "#" else join_marks(join_marks(before[1], item[1]), "+"), align(before[2], item[2]) if before[2] != item[2] else before[2]]
+            out[-1] = joined(out[-1], item, "+")
+        elif out and out[-1][0] == "()" and out[-1][2][-1][0] == item[0]:
+            inner = out[-1][2]
+            out[-1] = ["()", out[-1][1], [*inner[:-1], joined(inner[-1], item, "+")]]
         else:
             out.append(item)
+        for n in range(2, PERIOD + 1):
+            last = out[-n:]
+            if len(out) > n and out[-n - 1][0] == "()" and [x[0] for x in out[-n - 1][2]] == [x[0] for x in last]:
+                group = out[-n - 1]
+                group = ["()", group[1], [joined(a, b, "") for a, b in zip(group[2], last, strict=True)]]
+                out[-n - 1 :] = [group]
+                break
+            if len(out) >= 2 * n and not any(x[0] == "()" for x in out[-2 * n :]) and [x[0] for x in out[-2 * n : -n]] == [x[0] for x in last]:
+                out[-2 * n :] = [["()", "+", [joined(a, b, "") for a, b in zip(out[-2 * n : -n], last, strict=True)]]]
+                break
     return out
 
 
+def by_name(one: list, two: list) -> list:
+    """The items of two long lists, each name once, as repeated optional ones."""
+    found: dict[str, list] = {}
+    for item in [*one, *two]:
+        name = item[0] if item[0] != "()" else "(" + " ".join(x[0] for x in item[2]) + ")"
+        found[name] = joined(found[name], item, "*") if name in found else [item[0], "" if item[0] == "#" else "*", item[2]]
+    return list(found.values())
+
+
 def align(one: list, two: list) -> list:
     """The items of both in order: those of one name are aligned inside, those of one side become optional."""
     if one == two:
         return one
     n, m = len(one), len(two)
+    if n * m > TABLE:
+        return by_name(one, two)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):

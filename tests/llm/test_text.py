@@ -98,6 +98,23 @@ def test_wrappers(spark):
     assert wrappers.extracted(df.limit(0)).count() == 0
 
 
+def test_hard_pages_end():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert wrappers.main_text(deep, set()) == "x"
+    wrappers.tree(deep)
+    mixed = "".join(f"<h{k % 6 + 1}>a</h{k % 6 + 1}>" + "<p>b</p>" * (k % 3) + "<blockquote>c</blockquote>" * (k % 5 == 0) + "<hr>" for k in range(3000))
+    one, two = wrappers.tree(mixed)[2], wrappers.tree(mixed[40:])[2]
+    wrappers.align(one, two)
+    spans = "<article><p>" + "<b>x</b> " * 20_000 + "</p></article>"
+    assert len(wrappers.main_text(spans, set())) == 39_999
+    assert wrappers.main_text("<article><p title=\"x>hello</p></article>", set()) == "hello"
+
+
+def test_repeated_groups():
+    items = wrappers.tree("<article>" + "<h2>t</h2><p>x</p><p>y</p>" * 9 + "</article>")[2]
+    assert wrappers.expression(items) == "<article><()><h2>#<p>#</p>+</()>+"
+
+
 def test_alignment_makes_groups():
     a, b = wrappers.tree("<div><p>x</p><p>y</p><h2>t</h2></div>"), wrappers.tree("<div><p>x</p><span>s</span><h3>u</h3></div>")
     assert wrappers.expression(a[2]) == "<div><p>#</p>+<h2>#"
