@@ -206,3 +206,15 @@ def classes(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vec
     component = F.when(F.col("vec_id").isNull(), None).otherwise(F.coalesce("c", "vec_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND n > 0 AND isfinite(n)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.m, v.vec_id)) AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

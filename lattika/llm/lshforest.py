@@ -309,3 +309,17 @@ def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs without the rows whose document isn't its component's smallest."""
     gone = classes(docs, scratch=scratch).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c.m, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(c.m, n.doc_id)) AS kept FROM n LEFT JOIN c USING (doc_id)
+"""

@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_dac": op9_token_dac,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
-ORACLE_SQL: dict[str, str] = {"op10_chat_snapshots": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_lsh_forest": lshforest.ORACLE_SQL, "op6_pca_tiles": embeddings.ORACLE_SQL, "op10_chat_snapshots": chat.ORACLE_SQL}
