@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are mined from labelled rows: words and word beginnings that toxic texts hold far more often than
-clean ones, and a few patterns. A generative model of their votes (fires or doesn't, given the class)
+clean ones, and a few patterns. A generative model of their votes (fires or abstains, given the class)
 estimates how often each fires in either class, and which voters say the same again: voters that are
-correlated within a class share their weight. Its posteriors label a sample, on which a linear classifier
+correlated within a class share their weight. A voter that is silent abstains; that none of the lexicon
+fires is a voter of its own, for clean. Its posteriors label a sample, on which a linear classifier
 is trained; that classifier scores all texts. Doc_id, source, language and labels never enter a score.
 """
 
@@ -162,7 +163,7 @@ class Model:
 
     def inputs(self, words: Words) -> np.ndarray:
         hits = words.fired(self.features)
-        return np.concatenate([hits > 0, words.patterns(), np.log1p(hits.sum(1, keepdims=True))], axis=1).astype(np.float64)
+        return np.concatenate([hits > 0, words.patterns(), np.log1p((hits > 0).sum(1, keepdims=True))], axis=1).astype(np.float64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = self.inputs(Words(texts)) @ self.weights + self.bias
@@ -190,28 +191,51 @@ def chosen(features: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic:
     return sorted(keep, key=lambda k: (-toxic[k] * np.log(lift[k]), int(features[k])))[:VOTERS]
 
 
+def independent(votes: np.ndarray, known: np.ndarray, least: float = 5.0) -> np.ndarray:
+    """Places of the voters that tell something of rows no better voter fires on, best first in turn; sorted.
+
+    Words that merely stand beside a telling one, as in copies of a few texts, add nothing and go; those that
+    fire as often as a twentieth of the best, and on no clean row, stay in any case.
+    """
+    left, out = np.ones(len(votes), bool), []
+    share = known.mean()
+    often = votes[known == 1].sum(0)
+    pure = (often >= 0.05 * often.max(initial=0)) & (often >= 10) & (votes[known == 0].sum(0) == 0)
+    while len(out) < votes.shape[1]:
+        toxic = votes[left & (known == 1)].sum(0)
+        clean = votes[left & (known == 0)].sum(0)
+        n = np.maximum(toxic + clean, 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            evidence = np.where(toxic / n > share, toxic * np.log(np.maximum(toxic, 1e-9) / (n * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n * (1 - share))), 0)
+        evidence[out] = 0
+        best = int(np.argmax(evidence))
+        if evidence[best] < least:
+            break
+        out.append(best)
+        left &= votes[:, best] == 0
+    return np.array(sorted({*out, *np.flatnonzero(pure).tolist()}), np.int64)
+
+
 # ---- the label model
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, prior: float, fires: tuple[np.ndarray, np.ndarray], strength: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of class 1, the voters' accuracies, and their correlations within a class, by EM.
 
-    votes: rows of 0 and 1. known: 0, 1, or -1 where no label may be used. fires: how often each voter fires
+    votes: rows of 0 and 1. prior: the share of class 1, which stays: silence says nothing here, so votes alone
+    don't tell it. known: 0, 1, or -1 where no label may be used. fires: how often each voter fires
     in class 0 and 1 among the labelled rows, which counts as `strength` rows.
     """
     low, high = (np.clip(f, 1e-5, 1 - 1e-5) for f in fires)
     first = (low, high)
     weight = np.ones(votes.shape[1])
-    free = known < 0
+    free, prior = known < 0, float(np.clip(prior, 1e-3, 0.999))
     correlation = np.eye(votes.shape[1])
     for turn in range(rounds):
-        one = votes * weight
-        silent = (1 - votes) * weight
-        z = np.log(prior / (1 - prior)) + one @ np.log(high / low) + silent @ np.log((1 - high) / (1 - low))
+        z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(high / low))
         post = np.where(free, 1 / (1 + np.exp(-np.clip(z, -40, 40))), known)
         high = np.clip((post @ votes + strength * first[1]) / (post.sum() + strength), 1e-5, 1 - 1e-5)
         low = np.clip(((1 - post) @ votes + strength * first[0]) / ((1 - post).sum() + strength), 1e-5, 1 - 1e-5)
-        prior = float(np.clip(post.mean(), 1e-3, 0.999))
         if turn in (2, 6):
             off = np.concatenate([np.sqrt(post)[:, None] * (votes - high), np.sqrt(1 - post)[:, None] * (votes - low)])
             spread = np.sqrt(np.maximum((off**2).sum(0), 1e-9))
@@ -271,7 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1, OPEN_ROWS / max(1, total))))
     open_rows = some.select("text", F.lit(-1).alias("toxic"))
     x, known = inputs_of(rows.select("text", "toxic").unionByName(open_rows), model)
-    votes = x[:, : len(keep) + len(PATTERNS)]
+    alone = independent(x[known >= 0][:, : len(keep)], known[known >= 0])
+    model.features = model.features[alone]
+    x = np.concatenate([x[:, alone], x[:, len(keep) : -1], np.log1p(x[:, alone].sum(1, keepdims=True))], axis=1)
+    lexicon = x[:, : len(alone)]
+    votes = np.concatenate([lexicon, x[:, len(alone) : -1], lexicon.sum(1, keepdims=True) == 0], axis=1).astype(np.float64)
     fires = tuple(((votes[known == c].sum(0) + 0.5) / ((known == c).sum() + 1)) for c in (0, 1))
     post, model.accuracy, model.correlation = label_model(votes, known, n.get(1, 0) / max(1, sum(n.values())), fires, float(n_toxic + n_clean))
     model.weights, model.bias = classifier(x, post)

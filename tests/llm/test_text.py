@@ -57,8 +57,9 @@ def test_label_model_finds_accuracies_and_copies():
     y = (rng.random(4000) < 0.3).astype(int)
     fire = np.array([0.6, 0.5, 0.4, 0.5]), np.array([0.01, 0.02, 0.02, 0.3])
     votes = np.stack([rng.random(4000) < np.where(y == 1, a, b) for a, b in zip(*fire, strict=True)], axis=1).astype(float)
-    votes = np.concatenate([votes, votes[:, :1]], axis=1)
-    post, _, correlation = toxicity.label_model(votes, np.full(4000, -1), 0.3, (np.append(fire[1], 0.01), np.append(fire[0], 0.6)), 50.0)
+    # A copy of the first voter, and the voter for clean that fires where the four are silent.
+    votes = np.concatenate([votes, votes[:, :1], votes.sum(1, keepdims=True) == 0], axis=1)
+    post, _, correlation = toxicity.label_model(votes, np.full(4000, -1), 0.3, (np.array([*fire[1], 0.01, 0.66]), np.array([*fire[0], 0.6, 0.06])), 50.0)
     assert ((post > 0.5) == y).mean() > 0.9
     assert correlation[0, 4] > 0.9 and abs(correlation[0, 1]) < 0.3
 
