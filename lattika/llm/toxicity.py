@@ -24,10 +24,10 @@ TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS = 4_000, 16_000, 8_000
 CANDIDATES, VOTERS, LIFT, SUPPORT, EVIDENCE = 20_000, 160, 12.0, 3, 12.0
 """Mined features looked at, voters kept, how much likelier a toxic text must hold one, in how many texts at least, and the
 log-likelihood ratio that tells it from chance among several hundred thousand features."""
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 PATTERNS = ("exclamation", "capitals", "repeated", "masked")
 
-_KIND = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 7, dtype=np.uint64) | np.uint64(1)
+_KIND = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 9, dtype=np.uint64) | np.uint64(1)
 _LETTER = np.array([chr(c).isalpha() for c in range(LIMIT)] + [True])
 _LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 and ord(x) < LIMIT else c for c in range(LIMIT)] + [LIMIT], np.uint32)
 _UPPER = np.array([chr(c).isupper() for c in range(LIMIT)] + [False])
@@ -224,8 +224,10 @@ def label_model(votes: np.ndarray, known: np.ndarray, prior: float, fires: tuple
 
     votes: rows of 0 and 1. prior: the share of class 1, which stays: silence says nothing here, so votes alone
     don't tell it. known: 0, 1, or -1 where no label may be used. fires: how often each voter fires
-    in class 0 and 1 among the labelled rows, which counts as `strength` rows.
+    in class 0 and 1 among the labelled rows, which counts as `strength` rows, and as twice those given at
+    least: with abstaining voters a weak one that often fires alone would else make itself right.
     """
+    strength = max(strength, 2.0 * len(votes))
     low, high = (np.clip(f, 1e-5, 1 - 1e-5) for f in fires)
     first = (low, high)
     weight = np.ones(votes.shape[1])
