@@ -369,7 +369,7 @@ def main_text(page: str | None, template: set[str]) -> str:
 
 
 SPREAD = 16
-"""Parts that a host's pages are dealt to, each with a copy of its wrapper."""
+"""Parts at least that a host's pages are dealt to, each with a copy of its template: as many as there are shuffle partitions."""
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -380,9 +380,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     d = pages.select("page_id", "url", "html")
     shapes = wrappers(observed(d)).filter(F.size("template") > 0).select("host", "template")
-    shapes = shapes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    parts = max(SPREAD, shuffle_partitions(pages.sparkSession))
+    shapes = shapes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1))
-    d = d.withColumn("host", host).withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.lit(SPREAD)).cast("int"))
+    d = d.withColumn("host", host).withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.lit(parts)).cast("int"))
     both = d.join(shapes, ["host", "part"], "left").select("page_id", "url", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     from pyspark.sql.pandas.types import to_arrow_type
