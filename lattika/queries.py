@@ -412,12 +412,12 @@ def a07(spark, sf):
     return left.select(F.get_json_object("content", "$.event_type").alias("event_type")).groupBy("event_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("a17_seek_next", "SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey >= 5001")
+@query("a17_seek_next", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 5001 ORDER BY o_orderkey LIMIT 1")
 def a17(spark, sf):
     return keys.seek(table(spark, sf, "orders"), "o_orderkey", 5001).select("o_orderkey")
 
 
-@query("a17_seek_before", "SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey < 5001")
+@query("a17_seek_before", "SELECT o_orderkey FROM orders WHERE o_orderkey < 5001 ORDER BY o_orderkey DESC LIMIT 1")
 def a17b(spark, sf):
     return keys.seek_before(table(spark, sf, "orders"), "o_orderkey", 5001).select("o_orderkey")
 
