@@ -86,13 +86,14 @@ def test_odd_rows(spark):
     assert lshforest.classes(docs.limit(0)).count() == 0
 
 
-def test_components_of_hard_graphs(spark):
+@pytest.mark.parametrize("alone", [0, 100_000])
+def test_components_of_hard_graphs(spark, alone):
     rng = random.Random(5)
     path = list(range(400))
     rng.shuffle(path)
     links = list(zip(path, path[1:], strict=False)) + [(1000, x) for x in range(1001, 1300)] + [(2000 + i, 2000 + (i * 7 + 1) % 50) for i in range(50)] + [(3, 3)]
     df = spark.createDataFrame(links, "a long, b long").repartition(6)
-    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "t"), alone=alone).collect()}
     nodes = {x for e in links for x in e}
     assert got == smallest(nodes, links)
     assert components(df.limit(0), Scratch(spark, "t")).count() == 0
