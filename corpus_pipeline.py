@@ -12,6 +12,9 @@ from lattika.llm import lshforest, mixing, packing, toxicity
 from lattika.llm.common import Scratch, read_table
 from lattika.llm.queries import tokenizer
 
+#: Documents are near copies when they share this much of their five-word shingles; op3's own contract is 85.
+NEAR_PERCENT = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the weakly supervised classifier calls toxic."""
@@ -19,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with only the smallest doc_id of each near-duplicate component."""
-    return lshforest.deduplicated(docs)
+    """docs with only the smallest doc_id of each near-duplicate component, of pairs from NEAR_PERCENT on."""
+    return lshforest.deduplicated(docs, NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

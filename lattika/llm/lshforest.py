@@ -3,7 +3,7 @@
 1. Every whole text becomes its set of distinct 5-word shingles (64-bit hashes), a digest of the set and a
    signature of 64 minima. Equal sets fall together; one document represents them.
 2. A tree of the forest is the list of representatives sorted by the signature read from another place.
-   Neighbours with a common prefix of at least DEPTH values are candidates; where a region is dense, the
+   Neighbours with a common prefix of at least a few values are candidates; where a region is dense, the
    nearest neighbours share longer prefixes, so the depth adapts to it. Sorting is by range, with the id
    last, so no region is too large for a task.
 3. In regions with more members than the neighbour window reaches, or that cross a partition's end, members
@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,32 @@ from .components import Union, components
 
 WORDS, PERCENT = 5, 85
 """Words a shingle; documents link when 100 * intersection >= PERCENT * union."""
-TREES, DEPTH, VALUES, NEAR, AGREE, BLOCK = 16, 4, 64, 2, 40, 512
-"""Sorted orders, least common prefix, values a signature, neighbours looked at on either side, equal values
-that a candidate needs (a pair at 0.85 has fewer than 40 of 64 with a chance of about 1e-6), and members a block.
-A pair at 0.85 shares no region with a chance of (1 - 0.85**4)**16 < 1e-5."""
+VALUES, NEAR, BLOCK = 64, 2, 512
+"""Values a signature, neighbours looked at on either side, and members a block."""
+DEEP, NO_REGION, NO_AGREEMENT = 4, 1e-5, 2.5e-6
+"""The longest of the least prefixes, and the chances at most that a pair at the threshold shares no region
+and that it has fewer equal values than a candidate needs."""
+
+
+def shape(percent: int) -> tuple[int, int, int]:
+    """(sorted orders, least common prefix, equal values that a candidate needs) for a threshold: 16, 4, 40 at 85; 17, 3, 35 at 80.
+
+    The prefix is the longest whose orders, as many as the chance of a miss asks for, find room in the signature.
+    """
+    p = min(percent, 99) / 100
+    trees, depth = VALUES, 1
+    for d in range(DEEP, 0, -1):
+        need = math.ceil(math.log(NO_REGION) / math.log(1 - p**d))
+        if need * d <= VALUES:
+            trees, depth = need, d
+            break
+    agree, fewer = 0, 0.0
+    while (fewer := fewer + math.comb(VALUES, agree) * p**agree * (1 - p) ** (VALUES - agree)) <= NO_AGREEMENT:
+        agree += 1
+    return trees, depth, agree
+
+
+TREES, DEPTH, AGREE = shape(PERCENT)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -121,18 +144,18 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 # ---- the forest
 
 
-def entries(reps: DataFrame) -> DataFrame:
+def entries(reps: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """A row per representative and tree: id and sort key, which is the tree's number and the signature from the tree's place on."""
-    width = 4 * 2 * DEPTH
+    width = 4 * 2 * depth
     turned = F.concat("sig", F.substring("sig", 1, width))
-    keys = F.array(*[F.concat(F.lit(bytes([t])), F.substring(turned, 1 + 4 * DEPTH * t, width)) for t in range(TREES)])
+    keys = F.array(*[F.concat(F.lit(bytes([t])), F.substring(turned, 1 + 4 * depth * t, width)) for t in range(trees)])
     return reps.select("id", F.explode(keys).alias("key"))
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def neighbours(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
     """From sorted entries: pairs (a, b, no region) of near neighbours, and members (a, no b, region) of regions not looked at whole."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("region", pa.binary())])
-    prefix = 1 + 4 * DEPTH
+    prefix = 1 + 4 * depth
     recent: list[int] = []
     held: list[int] = []  # the region's members as far as they may still be needed
     region, size, first, open_region = b"", 0, True, False
@@ -161,14 +184,14 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), names, strict=True)], schema=names)
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose signatures have at least AGREE equal values."""
+def agreeing(pairs: DataFrame, reps: DataFrame, agree: int = AGREE) -> DataFrame:
+    """The pairs whose signatures have at least `agree` equal values."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(-1, VALUES) for k in (2, 3))
-            same = (x == y).sum(1) >= AGREE
+            same = (x == y).sum(1) >= agree
             keep = pa.array(same)
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=names)
 
@@ -200,12 +223,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[list
         yield run
 
 
-def allowed(sig: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+def allowed(sig: np.ndarray, x: int, others: np.ndarray, agree: int = AGREE) -> np.ndarray:
     """Which of the others agree with x in enough values."""
-    return others[(sig[others] == sig[x]).sum(1) >= AGREE]
+    return others[(sig[others] == sig[x]).sum(1) >= agree]
 
 
-def left_over(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def left_over(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Scratch, agree: int = AGREE) -> DataFrame:
     """Candidate pairs within regions whose members `found` (node, component) doesn't join: a spanning part of them."""
     m = members.select(F.col("a").alias("id"), "region").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     m = scratch.cut(m.select("region", "id", F.coalesce("component", "id").alias("c")), "members")
@@ -224,7 +247,7 @@ def left_over(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Sc
                 ok = component[x + 1 :] != component[x]
                 if group[0][1] != group[0][2]:
                     ok &= own[x + 1 :] != own[x]
-                for y in allowed(sig, x, x + 1 + np.flatnonzero(ok)).tolist():
+                for y in allowed(sig, x, x + 1 + np.flatnonzero(ok), agree).tolist():
                     if union.join(int(component[x]), int(component[y])):
                         out.append((ids[x], ids[y]))
             yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -240,6 +263,7 @@ def confirmed(docs: DataFrame, families: DataFrame, percent: int = PERCENT) -> D
 
     docs: id and text of representatives; families: node and component.
     """
+    agree = shape(percent)[2]
     size = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rows = docs.join(families.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "n"), "id")
     rows = blocks_of(rows, "family", "n", "id").select("family", "p", "q", "own", "id", "text")
@@ -259,7 +283,7 @@ def confirmed(docs: DataFrame, families: DataFrame, percent: int = PERCENT) -> D
             union = Union()
             for x in range(len(group)):
                 others = x + 1 + np.flatnonzero(own[x + 1 :] != own[x]) if across else np.arange(x + 1, len(group))
-                others = allowed(sig, x, others)
+                others = allowed(sig, x, others, agree)
                 root = union.find(x)
                 others = others[[union.find(y) != root for y in others.tolist()]] if len(others) else others
                 if not len(others):
@@ -284,15 +308,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     all are kept or not together; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "forest")
+    trees, depth, agree = shape(percent)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = scratch.cut(signed(d), "signed")
     reps = scratch.cut(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "reps")
-    sorted_ = entries(reps).repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "id").sortWithinPartitions("key", "id")
-    near = scratch.cut(sorted_.mapInArrow(neighbours, "a long, b long, region binary"), "near")
+    sorted_ = entries(reps, trees, depth).repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "id").sortWithinPartitions("key", "id")
+    near = scratch.cut(sorted_.mapInArrow(lambda batches: neighbours(batches, depth), "a long, b long, region binary"), "near")
     pairs = near.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = scratch.cut(agreeing(pairs, reps), "agreeing")
+    first = scratch.cut(agreeing(pairs, reps, agree), "agreeing")
     found = scratch.cut(components(first, scratch), "found")
-    rest = scratch.cut(left_over(near.filter("b is null"), found, reps, scratch), "rest")
+    rest = scratch.cut(left_over(near.filter("b is null"), found, reps, scratch, agree), "rest")
     edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").unionByName(rest)
     families = scratch.cut(components(edges, scratch), "families")
     # The texts of the families' representatives, each once however often its row is repeated.
@@ -305,9 +330,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs without the rows whose document isn't its component's smallest."""
-    gone = classes(docs, scratch=scratch).filter(~F.col("kept")).select("doc_id").distinct()
+def deduplicated(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """docs without the rows whose document isn't its component's smallest, with links from `percent` on."""
+    gone = classes(docs, percent=percent, scratch=scratch).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -125,3 +125,21 @@ def test_vectors_equal_brute_force(spark, tile):
     assert {k: v[0] for k, v in got.items()} == {r[0]: n[r[0]] for r in rows}
     assert len(links) > 30
     assert embeddings.classes(df.limit(0)).count() == 0
+
+
+def test_threshold_80_finds_what_85_leaves(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        # 204 words have 200 shingles; four lone changes cost 20 of each side: 180 / 220 = 0.818.
+        base = [f"d{k}w{i}" for i in range(204)]
+        copy = list(base)
+        for at in (20, 60, 100, 150):
+            copy[at + rng.randrange(20)] = "other"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert lshforest.deduplicated(docs).count() == 300
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == list(range(0, 300, 2))
+    assert lshforest.shape(85) == (16, 4, 40) and lshforest.shape(80) == (17, 3, 35)
