@@ -1,33 +1,48 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every stream (a source, or the pool of sources without a weight) is cut into blocks of documents. With
+Every stream (a source; rows without one are a stream too) is cut into blocks of documents. With
 integer weights a_i that sum to q, block k of stream i may run from slot floor(k q / a_i) and must run
 before slot ceil((k + 1) q / a_i); one block runs in each slot, by earliest deadline first. Such a schedule
 repeats every q slots and keeps each stream within one block of its share at any slot. When a stream runs
 out, a new phase starts for those that remain, with the same weights among them, until all is placed.
-The driver computes one period of each phase, at most q slots for at most q streams; the documents get
-their places by a join with that table.
+The driver computes one period of each phase, or the phase if that is shorter, so at most q slots a phase, one phase a
+stream and never more slots than blocks; the documents get their places by a join with that table.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections.abc import Iterable
+from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_partitions
 
-#: Target weights in parts; sources without one share the weight of "*".
+#: Target weights in parts; the part of "*" is divided evenly among the other sources present.
 WEIGHTS = {"src0": 12, "src1": 8, "src2": 8, "src3": 6, "*": 66}
 BLOCK, LEAST_BUCKETS = 16, 64
 """Documents a block; buckets a stream at least, which spread a hot stream over tasks."""
 POOL = "*"
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots that each stream gets in one period of sum(weights) slots, by EDF over the Pfair windows."""
+def own_weights(sources: Iterable[str], targets: dict[str, int] | None = None) -> dict[str, int]:
+    """A weight for each source present: its target, or an equal part of what "*" holds; rows without source count as one source, "*"."""
+    targets = WEIGHTS if targets is None else targets
+    named = {s: a for s, a in targets.items() if s != POOL}
+    others = sorted(s for s in sources if s not in named)
+    whole = {s: a * max(1, len(others)) for s, a in named.items() if s in set(sources)} | dict.fromkeys(others, targets.get(POOL, 1))
+    shared = gcd(*whole.values())
+    return {s: a // shared for s, a in whole.items()}
+
+
+def period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots that each stream gets in one period of sum(weights) slots, by EDF over the Pfair windows.
+
+    left: the streams' blocks; the period is cut off where a stream has none for its slot.
+    """
     q = sum(weights.values())
     released: dict[int, list[str]] = {0: sorted(weights)}
     ready: list[tuple[int, str]] = []
@@ -38,6 +53,8 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
         deadline, s = heapq.heappop(ready)
         if t >= deadline:
             raise ValueError("weights must be positive")
+        if left is not None and len(slots[s]) == left[s]:
+            break
         slots[s].append(t)
         k = len(slots[s])
         if k < weights[s]:
@@ -50,13 +67,15 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     left, done, start, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     while left:
         own = {s: weights[s] for s in left}
-        slots, q = period(own), sum(own.values())
-        # The slot in which each stream would want a block that it no longer has; the earliest ends the phase.
-        ends = {s: n // own[s] * q + slots[s][n % own[s]] for s, n in left.items()}
-        end = min(ends.values())
+        slots, q = period(own, left), sum(own.values())
+        end = sum(map(len, slots.values()))
+        cut = end < q
+        if not cut:
+            # The slot in which each stream would want a block that it no longer has; the earliest ends the phase.
+            end = min(n // own[s] * q + slots[s][n % own[s]] for s, n in left.items())
         out.append({"start": start, "q": q, "weights": own, "slots": slots, "first": {s: done[s] for s in own}})
         for s in own:
-            used = end // q * own[s] + bisect_left(slots[s], end % q)
+            used = len(slots[s]) if cut else end // q * own[s] + bisect_left(slots[s], end % q)
             done[s] += used
             left[s] -= used
         left = {s: n for s, n in left.items() if n > 0}
@@ -75,15 +94,19 @@ def plan_rows(weights: dict[str, int], blocks: dict[str, int]) -> list[tuple]:
     return rows
 
 
-def numbered(docs: DataFrame, weights: dict[str, int], scratch: Scratch, key: str = "doc_id", source: str = "source", payload: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+def numbered(docs: DataFrame, weights: dict[str, int] | None, scratch: Scratch, key: str = "doc_id", source: str = "source", payload: list[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """docs with their stream and their number in it, in the order of a hash of the key; and the streams' sizes.
 
-    A stream is numbered in buckets of that hash, so no task gets more than a bucket of a hot stream.
+    Each source is a stream; with weights those that have one, and the rest is the pool. A stream is numbered
+    in buckets of that hash, so no task gets more than a bucket of a hot stream.
     """
     spark = docs.sparkSession
     buckets = max(LEAST_BUCKETS, 4 * shuffle_partitions(spark))
-    named = [s for s in weights if s != POOL]
-    stream = F.when(F.col(source).isin(named), F.col(source)).otherwise(F.lit(POOL)) if named else F.lit(POOL)
+    if weights is None:
+        stream = F.coalesce(source, F.lit(POOL))
+    else:
+        named = [s for s in weights if s != POOL]
+        stream = F.when(F.col(source).isin(named), F.col(source)).otherwise(F.lit(POOL)) if named else F.lit(POOL)
     rest = payload or []
     body = [F.col(c).alias(f"_p{i}") for i, c in enumerate(rest)]
     # Copies of a row under one key spread too: the hash takes the text where there is one.
@@ -102,15 +125,18 @@ def numbered(docs: DataFrame, weights: dict[str, int], scratch: Scratch, key: st
 def schedule(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, scratch: Scratch | None = None, payload: list[str] | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
     """Every row with its place: stream, block, release, deadline, slot, phase and position; position orders the mixture.
 
-    payload: columns of docs to carry along (as _p0, _p1, ...). Rows without source, or of a source without
-    a weight, belong to the stream "*"; if "*" has no weight it gets 1. Repeated rows get places of their
+    payload: columns of docs to carry along (as _p0, _p1, ...). Without weights each source present is a
+    stream: those in WEIGHTS have their targets, the others equal parts of the rest; rows without source are
+    the stream "*". With weights, rows of a source that has none belong to "*", too, which gets 1 if it has
+    no weight. Repeated rows get places of their
     own. An empty table gives an empty result. Nothing is dropped or repeated: while all streams last, each
     prefix holds the target weights to less than a block; later ones hold them among the streams left.
     """
-    weights = {POOL: 1} | (WEIGHTS if weights is None else weights)
+    weights = None if weights is None else {POOL: 1} | weights
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     d, totals = numbered(docs, weights, scratch, key, source, payload)
+    weights = own_weights(totals) if weights is None else weights
     blocks = {s: -(-n // block) for s, n in totals.items()}
     kind = "_s string, phase long, _from long, _to long, _k long, _a long, _q long, _first long, _slot long"
     table = spark.createDataFrame(plan_rows(weights, blocks), kind)

@@ -123,3 +123,29 @@ def test_trees_learn(spark):
 def test_one_class_is_constant(spark, n):
     df = spark.createDataFrame([(k, "http://a.org/x") for k in range(n)] + [(9, "http://b.net/")], "page_id long, url string")
     assert {r["verdict"] for r in urls.judge(df).filter("page_id = 9").collect()} <= {"allow", "block"}
+
+
+def test_each_source_has_its_own_windows(spark):
+    rows = [(k, f"src{k % 13}" if k % 3 else "src7") for k in range(3000)] + [(k, None) for k in range(3000, 3100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = mixing.own_weights({s or "*" for _, s in rows})
+    got = mixing.schedule(df, block=4).orderBy("position").collect()
+    assert len(got) == len(rows) and all(r["stream"] == (r["source"] or "*") and r["release"] <= r["slot"] < r["deadline"] for r in got)
+    q = sum(weights.values())
+    assert all(weights[f"src{k}"] * 100 == q * mixing.WEIGHTS[f"src{k}"] for k in range(4)) and len({weights[s] for s in weights if s not in mixing.WEIGHTS or s == "*"}) == 1
+    order = {}
+    for r in got:
+        assert order.setdefault(r["slot"], (r["stream"], r["phase"]))[0] == r["stream"]
+    assert sorted(order) == list(range(len(order)))
+    own = Counter()
+    for t in sorted(t for t, (_, phase) in order.items() if phase == 0):
+        own[order[t][0]] += 1
+        assert all(abs(own[s] - weights[s] * (t + 1) / q) < 1 for s in weights)
+    blocks = {s: -(-n // 4) for s, n in Counter(s or "*" for _, s in rows).items()}
+    assert [order[t][0] for t in sorted(order)] == [s for s, _ in reference_order(weights, blocks)]
+
+
+def test_many_sources_stay_bounded_by_blocks():
+    blocks = {f"s{k}": 1 + k % 2 for k in range(400)}
+    assert len(mixing.plan_rows(mixing.own_weights(blocks), blocks)) == sum(blocks.values())
+    assert mixing.own_weights([]) == {}
