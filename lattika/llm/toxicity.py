@@ -10,13 +10,17 @@ is trained; that classifier scores all texts. Doc_id, source, language and label
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lshforest import mix
 from .tokens import CODE, LIMIT, powers
 
 TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS = 4_000, 16_000, 8_000
@@ -28,34 +32,75 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 PATTERNS = ("exclamation", "capitals", "repeated", "masked")
 
 _KIND = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 9, dtype=np.uint64) | np.uint64(1)
-_LETTER = np.array([chr(c).isalpha() for c in range(LIMIT)] + [True])
-_LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 and ord(x) < LIMIT else c for c in range(LIMIT)] + [LIMIT], np.uint32)
-_UPPER = np.array([chr(c).isupper() for c in range(LIMIT)] + [False])
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han): a word may start at any of their letters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+SIGN, WORD, MARK, GLUED = 0, 1, 2, 3
+
+
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point by Unicode category: its class (SIGN, letter of a WORD, MARK on a letter, letter or mark GLUED to others without spaces), lower case, whether it is upper case, and its code in hashes."""
+    every = range(sys.maxunicode + 1)
+    kind = np.fromiter(map(str.isalpha, map(chr, every)), np.uint8, len(every))
+    for c in np.flatnonzero(kind == SIGN).tolist():
+        if unicodedata.category(chr(c))[0] == "M":
+            kind[c] = MARK
+    for a, b in UNSPACED:
+        kind[a : b + 1][kind[a : b + 1] != SIGN] = GLUED
+    lower, upper = np.arange(len(every), dtype=np.uint32), np.zeros(len(every), bool)
+    for c in np.flatnonzero(kind == WORD).tolist():
+        x = chr(c)
+        upper[c] = x.isupper()
+        if len(x := x.lower()) == 1:
+            lower[c] = ord(x)
+    code = mix(np.arange(len(every), dtype=np.uint64))
+    code[:LIMIT] = CODE[:LIMIT]
+    return kind, lower, upper, code
 
 
 class Words:
-    """The words (runs of letters, lower-cased) of a few texts, as hashes of each word and of its beginnings."""
+    """The words (runs of letters and their marks, lower-cased) of a few texts, as hashes of each word and of its beginnings.
+
+    In scripts without spaces each letter starts a word of two characters, and beginnings reach to the run's end.
+    """
 
     def __init__(self, texts: list[str | None]):
         texts = [t or "" for t in texts]
         joined = "\n".join(texts) + "\n"
-        self.points = points = np.minimum(np.frombuffer(joined.encode("utf-32-le"), np.uint32), LIMIT)
+        self.points = points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.cumsum(sizes) - sizes
         self.sizes = sizes
-        letter = _LETTER[points]
-        turn = np.flatnonzero(np.diff(letter, prepend=False))
-        self.start, self.end = turn[::2], turn[1::2]
+        kinds, lower, self.upper, code = characters()
+        self.lower, kind = lower[points], kinds[points]
+        self.letter = kind != SIGN
+        glued = kind == GLUED
+        turn = np.flatnonzero(np.diff(self.letter & ~glued, prepend=False))
+        start, end = turn[::2], turn[1::2]
+        marks = np.flatnonzero(kind[start] == MARK)
+        if len(marks):  # a word starts with a letter
+            first = np.append(np.flatnonzero(kind == WORD), len(points))
+            start = start.copy()
+            start[marks] = first[np.searchsorted(first, start[marks])]
+            start, end = start[start < end], end[start < end]
+        reach = end
+        if glued.any():
+            turn = np.flatnonzero(np.diff(glued, prepend=False))
+            alone = np.flatnonzero(glued)
+            until = turn[1::2][np.searchsorted(turn[1::2], alone, "right")]
+            start, end, reach = np.concatenate([start, alone]), np.concatenate([end, np.minimum(alone + 2, until)]), np.concatenate([end, until])
+        # Where each word starts, where it ends and how far its beginnings reach.
+        self.start, self.end, self.reach = start, end, reach
         up, down = powers(len(points) + 1)
         self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(CODE[_LOWER[points]] * up[: len(points)], out=self.sums[1:])
+        np.cumsum(code[self.lower] * up[: len(points)], out=self.sums[1:])
         self.down = down
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
         self.n = len(texts)
 
     def features(self):
         """(hashes, texts' numbers) for whole words, then for beginnings of each length."""
-        size = self.end - self.start
+        size = self.reach - self.start
         yield (self.sums[self.end] - self.sums[self.start]) * self.down[self.start] * _KIND[0], self.doc
         for k in PREFIXES:
             long = size >= k
@@ -65,7 +110,7 @@ class Words:
     def spelled(self, wanted: set[int]) -> dict[int, tuple[str, bool]]:
         """The text of some features, and whether it is a beginning."""
         out: dict[int, tuple[str, bool]] = {}
-        size = self.end - self.start
+        size = self.reach - self.start
         for k in (0, *PREFIXES):
             ok = size >= k
             a = self.start[ok]
@@ -73,7 +118,7 @@ class Words:
             h = (self.sums[b] - self.sums[a]) * self.down[a] * _KIND[k]
             hit = np.flatnonzero(np.isin(h, np.fromiter(wanted, np.uint64, len(wanted))))
             for i in hit.tolist():
-                out.setdefault(int(h[i]), ("".join(map(chr, _LOWER[self.points[a[i] : b[i]]].tolist())), k > 0))
+                out.setdefault(int(h[i]), ("".join(map(chr, self.lower[a[i] : b[i]].tolist())), k > 0))
         return out
 
     def fired(self, table: np.ndarray) -> np.ndarray:
@@ -91,10 +136,10 @@ class Words:
         p = self.points
         share = lambda mask: np.add.reduceat(mask.astype(np.float64), self.first) / np.maximum(1, self.sizes - 1)
         repeated = np.zeros(len(p), bool)
-        repeated[3:] = (p[3:] == p[2:-1]) & (p[3:] == p[1:-2]) & (p[3:] == p[:-3]) & _LETTER[p[3:]]
+        repeated[3:] = (p[3:] == p[2:-1]) & (p[3:] == p[1:-2]) & (p[3:] == p[:-3]) & self.letter[3:]
         masked = np.zeros(len(p), bool)
-        masked[1:-1] = ((p[1:-1] == ord("*")) | (p[1:-1] == ord("@")) | (p[1:-1] == ord("$"))) & _LETTER[p[:-2]] & _LETTER[p[2:]]
-        return np.stack([share(p == ord("!")) > 0.02, share(_UPPER[p]) > 0.5, share(repeated) > 0, share(masked) > 0], axis=1).astype(np.float64)
+        masked[1:-1] = ((p[1:-1] == ord("*")) | (p[1:-1] == ord("@")) | (p[1:-1] == ord("$"))) & self.letter[:-2] & self.letter[2:]
+        return np.stack([share(p == ord("!")) > 0.02, share(self.upper[p]) > 0.5, share(repeated) > 0, share(masked) > 0], axis=1).astype(np.float64)
 
 
 def pieces(columns: list, rows: int = 128, chars: int = 1 << 20):

@@ -120,3 +120,40 @@ def test_alignment_makes_groups():
     a, b = wrappers.tree("<div><p>x</p><p>y</p><h2>t</h2></div>"), wrappers.tree("<div><p>x</p><span>s</span><h3>u</h3></div>")
     assert wrappers.expression(a[2]) == "<div><p>#</p>+<h2>#"
     assert wrappers.expression(wrappers.align(a[2], b[2])) == "<div><p>#</p>+<h2>#</h2>?#?<h3>#</h3>?"
+
+
+SCRIPTS = {
+    "greek": ("ηλίθιος", "καλός αέρας σπίτι νερό δέντρο"),
+    "cyrillic": ("дурачок", "хорошо привет деревня собака молоко"),
+    "devanagari": ("मूर्खता", "नमस्ते दुनिया पानी किताब बगीचा"),
+    "arabic": ("أحمقون", "مرحبا كتاب مدينة حديقة طريق"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_words_of_all_scripts_become_voters(spark, script):
+    bad, fine = SCRIPTS[script]
+    rng, fine = random.Random(5), fine.split()
+    docs, truth = [], {}
+    for k in range(400):
+        words = [rng.choice(fine) for _ in range(20)]
+        truth[k] = int(k % 6 == 0)
+        if truth[k]:
+            words.insert(rng.randrange(20), f"“{bad}”")
+        docs.append((k, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    assert all(r["predicted"] == truth[r["doc_id"]] for r in toxicity.judged(d, y).collect())
+
+
+def test_words_are_hashed_by_code_points():
+    def first(text):
+        return {int(h) for hashes, _ in toxicity.Words([text]).features() for h in hashes}
+
+    assert not first("привет") & first("собака") and first("ПРИВЕТ") == first("привет")
+    assert first("“idiot”") == first("idiot") == first("…idiot—")
+    assert first("idiot") == first("❤️idiot")  # a variation selector isn't a word's first letter
+    two = toxicity.Words(["笨蛋"]).features().__next__()[0][0]
+    assert two in toxicity.Words(["你是个笨蛋吗"]).features().__next__()[0]
+    spelled = toxicity.Words(["नमस्ते Ärger"])
+    assert ("नमस्ते", False) in spelled.spelled(first("नमस्ते")).values() and ("ärger", False) in spelled.spelled(first("ÄRGER")).values()
