@@ -25,9 +25,9 @@ from .tokens import CODE, LIMIT, powers
 
 TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS = 4_000, 16_000, 8_000
 """Bounds of the training sample: labelled toxic and clean rows, and rows without a usable label."""
-CANDIDATES, VOTERS, LIFT, SUPPORT, EVIDENCE = 20_000, 160, 12.0, 3, 12.0
-"""Mined features looked at, voters kept, how much likelier a toxic text must hold one, in how many texts at least, and the
-log-likelihood ratio that tells it from chance among several hundred thousand features."""
+LIFT, SUPPORT, EVIDENCE = 12.0, 3, 12.0
+"""How much likelier a toxic text must hold a feature that becomes a voter, in how many texts at least, and the
+log-likelihood ratio that tells it from chance among several hundred thousand features. Nothing else bounds the voters."""
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PATTERNS = ("exclamation", "capitals", "repeated", "masked")
 
@@ -164,10 +164,11 @@ def counted(texts: DataFrame) -> DataFrame:
         seen: list[np.ndarray] = []
         for batch in batches:
             for (part,) in pieces([batch.column(0).to_pylist()]):
-                words = Words(part)
-                both = [np.stack([h.view(np.int64), d]) for h, d in words.features()]
-                every = np.unique(np.concatenate(both, axis=1), axis=1) if both else np.zeros((2, 0), np.int64)
-                seen.append(every[0])
+                f, d = (np.concatenate(c) for c in zip(*Words(part).features(), strict=True))
+                # Within a text each feature counts once.
+                order = np.lexsort((d, f))
+                f, d = f[order].view(np.int64), d[order]
+                seen.append(f[np.append(True, (f[1:] != f[:-1]) | (d[1:] != d[:-1]))] if len(f) else f)
             if sum(map(len, seen)) > 2_000_000:
                 yield flat(seen)
                 seen = []
@@ -181,18 +182,14 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def counted_of(texts: DataFrame, features: np.ndarray) -> np.ndarray:
-    """In how many texts each of some sorted features occurs; one line per task comes back."""
-
-    def run(batches):
-        total = np.zeros(len(features), np.int64)
-        for batch in batches:
-            for (part,) in pieces([batch.column(0).to_pylist()]):
-                total += (Words(part).fired(features) > 0).sum(0)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
-
-    lines = texts.select("text").mapInArrow(run, "counts binary").toLocalIterator()
-    return sum((np.frombuffer(r["counts"], np.int64) for r in lines), np.zeros(len(features), np.int64))
+def telling(toxic_rows: DataFrame, clean_rows: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(feature, toxic, clean): the features that toxic texts hold often enough, far likelier than clean ones and not by chance."""
+    often = counted(toxic_rows).filter(F.col("n") >= SUPPORT).withColumnRenamed("n", "toxic")
+    both = often.join(counted(clean_rows).withColumnRenamed("n", "clean"), "feature", "left").fillna(0, ["clean"])
+    toxic, clean, share = F.col("toxic"), F.col("clean"), n_toxic / (n_toxic + n_clean)
+    lift = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
+    evidence = toxic * F.log(toxic / ((toxic + clean) * share)) + clean * F.log(F.greatest(clean, F.lit(1)) / ((toxic + clean) * (1 - share)))
+    return both.filter((lift >= LIFT) & (evidence >= EVIDENCE))
 
 
 @dataclass
@@ -233,31 +230,38 @@ def chosen(features: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic:
         shorter = any((text[:n], True) in good and lift[good[text[:n], True]] >= lift[k] * 0.2 and toxic[good[text[:n], True]] > 1.03 * toxic[k] for n in PREFIXES if n < len(text) or (n == len(text) and not start))
         if not shorter:
             keep.append(k)
-    return sorted(keep, key=lambda k: (-toxic[k] * np.log(lift[k]), int(features[k])))[:VOTERS]
+    return sorted(keep, key=lambda k: (-toxic[k] * np.log(lift[k]), int(features[k])))
 
 
-def independent(votes: np.ndarray, known: np.ndarray, least: float = 5.0) -> np.ndarray:
+def independent(row: np.ndarray, voter: np.ndarray, n: int, known: np.ndarray, least: float = 5.0) -> np.ndarray:
     """Places of the voters that tell something of rows no better voter fires on, best first in turn; sorted.
 
     Words that merely stand beside a telling one, as in copies of a few texts, add nothing and go; those that
-    fire as often as a twentieth of the best, and on no clean row, stay in any case.
+    fire as often as a twentieth of the best, and on no clean row, stay in any case. row and voter say which of n
+    voters fires on which of the known rows, each once.
     """
-    left, out = np.ones(len(votes), bool), []
+    left, out = np.ones(len(known), bool), []
     share = known.mean()
-    often = votes[known == 1].sum(0)
-    pure = (often >= 0.05 * often.max(initial=0)) & (often >= 10) & (votes[known == 0].sum(0) == 0)
-    while len(out) < votes.shape[1]:
-        toxic = votes[left & (known == 1)].sum(0)
-        clean = votes[left & (known == 0)].sum(0)
-        n = np.maximum(toxic + clean, 1e-9)
+    often, seldom = (np.bincount(voter[known[row] == c], minlength=n).astype(np.float64) for c in (1, 0))
+    pure = (often >= 0.05 * often.max(initial=0)) & (often >= 10) & (seldom == 0)
+    order = np.argsort(voter, kind="stable")
+    ends = np.searchsorted(voter[order], np.arange(n + 1))
+    toxic, clean = often.copy(), seldom.copy()
+    by_row = np.argsort(row, kind="stable")
+    of_row = np.searchsorted(row[by_row], np.arange(len(known) + 1))
+    while len(out) < n:
+        both = np.maximum(toxic + clean, 1e-9)
         with np.errstate(divide="ignore", invalid="ignore"):
-            evidence = np.where(toxic / n > share, toxic * np.log(np.maximum(toxic, 1e-9) / (n * share)) + clean * np.log(np.maximum(clean, 1e-9) / (n * (1 - share))), 0)
+            evidence = np.where(toxic / both > share, toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)) + clean * np.log(np.maximum(clean, 1e-9) / (both * (1 - share))), 0)
         evidence[out] = 0
         best = int(np.argmax(evidence))
         if evidence[best] < least:
             break
         out.append(best)
-        left &= votes[:, best] == 0
+        for i in row[order[ends[best] : ends[best + 1]]].tolist():
+            if left[i]:
+                left[i] = False
+                np.subtract.at(toxic if known[i] == 1 else clean, voter[by_row[of_row[i] : of_row[i + 1]]], 1)
     return np.array(sorted({*out, *np.flatnonzero(pure).tolist()}), np.int64)
 
 
@@ -329,22 +333,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(width), float(np.log(rate / (1 - rate))))
     toxic_rows, clean_rows = rows.filter("toxic = 1"), rows.filter("toxic = 0")
-    often = counted(toxic_rows).filter(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
-    mined = np.array(sorted((r["feature"] & (1 << 64) - 1, r["n"]) for r in often), np.uint64).reshape(-1, 2)
-    features, toxic = np.ascontiguousarray(mined[:, 0]), mined[:, 1].astype(np.int64)
-    clean = counted_of(clean_rows, features)
-    lifted = ((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1)) >= LIFT
-    features, toxic, clean = features[lifted], toxic[lifted], clean[lifted]
+    mined = np.array(sorted((r["feature"] & (1 << 64) - 1, r["toxic"], r["clean"]) for r in telling(toxic_rows, clean_rows, n_toxic, n_clean).toLocalIterator()), np.uint64).reshape(-1, 3)
+    features, toxic, clean = np.ascontiguousarray(mined[:, 0]), mined[:, 1].astype(np.int64), mined[:, 2].astype(np.int64)
     spelling = spelled(toxic_rows, features)
     keep = np.array(sorted(chosen(features, toxic, clean, n_toxic, n_clean, spelling), key=lambda k: int(features[k])), np.int64)
-    model = Model(features[keep], spelling={int(f): spelling[int(f)] for f in features[keep]})
+    alone = independent(*fires_of(rows, features[keep]))
+    model = Model(features[keep][alone], spelling={int(f): spelling[int(f)] for f in features[keep]})
     total = docs.count()
     some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1, OPEN_ROWS / max(1, total))))
     open_rows = some.select("text", F.lit(-1).alias("toxic"))
     x, known = inputs_of(rows.select("text", "toxic").unionByName(open_rows), model)
-    alone = independent(x[known >= 0][:, : len(keep)], known[known >= 0])
-    model.features = model.features[alone]
-    x = np.concatenate([x[:, alone], x[:, len(keep) : -1], np.log1p(x[:, alone].sum(1, keepdims=True))], axis=1)
     lexicon = x[:, : len(alone)]
     votes = np.concatenate([lexicon, x[:, len(alone) : -1], lexicon.sum(1, keepdims=True) == 0], axis=1).astype(np.float64)
     fires = tuple(((votes[known == c].sum(0) + 0.5) / ((known == c).sum() + 1)) for c in (0, 1))
@@ -369,6 +367,25 @@ def spelled(texts: DataFrame, features: np.ndarray) -> dict[int, tuple[str, bool
     return {r["f"] & (1 << 64) - 1: (r["s"], r["p"]) for r in lines}
 
 
+def fires_of(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Which features fire on which labelled rows, as rows' numbers and features' places; how many features; the rows' classes."""
+
+    def run(batches):
+        for batch in batches:
+            for texts, known in pieces([batch.column(0).to_pylist(), batch.column(1).to_pylist()]):
+                own = [[] for _ in texts]
+                if len(features):
+                    for hashes, doc in Words(texts).features():
+                        at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+                        for i in np.flatnonzero(features[at] == hashes).tolist():
+                            own[doc[i]].append(at[i])
+                yield pa.record_batch([pa.array([np.unique(np.array(o, np.int32)).tobytes() for o in own], pa.binary()), pa.array(known, pa.int32())], names=["v", "y"])
+
+    got = [(np.frombuffer(r["v"], np.int32), r["y"]) for r in rows.select("text", "toxic").mapInArrow(run, "v binary, y int").toLocalIterator()]
+    voter = np.concatenate([np.zeros(0, np.int32), *(g[0] for g in got)])
+    return np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), voter, len(features), np.array([g[1] for g in got])
+
+
 def inputs_of(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The classifier's inputs and the known classes of the sample."""
 

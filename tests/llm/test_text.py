@@ -157,3 +157,18 @@ def test_words_are_hashed_by_code_points():
     assert two in toxicity.Words(["你是个笨蛋吗"]).features().__next__()[0]
     spelled = toxicity.Words(["नमस्ते Ärger"])
     assert ("नमस्ते", False) in spelled.spelled(first("नमस्ते")).values() and ("ärger", False) in spelled.spelled(first("ÄRGER")).values()
+
+
+def test_all_telling_words_become_voters(spark):
+    # Frequent words of toxic and clean texts outrank the telling ones, of which each stands in few texts.
+    rng, rows = random.Random(9), []
+    common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(10)) for _ in range(4000)]
+    bad = [f"{a}{b}{c}qz" for a in "qwrt" for b in "zxvy" for c in "kjhgfdspmlnb"]
+    for k in range(8000):
+        words = rng.sample(common, 40)
+        if k % 4 == 0:
+            words.append(bad[k // 4 % len(bad)])
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.fit(d, d.select("doc_id", "toxic"))
+    assert (np.round(found.score(bad)) == 1).all() and len(found.features) > 160
