@@ -4,8 +4,9 @@ A page is a tree of elements, each named by its tag and class words, with text s
 collapse to a repeated group. Pages with the same collapsed tree count once. The trees of a host are then
 aligned one after another: matching elements are aligned inside, what only one side has becomes an
 optional group, an element against several of its kind a repeated group. The result is the host's wrapper.
-Its slots are main text or not by their place (menus, headers, footers, asides, notices, adverts, forms,
-comments), by links, and by being the same text on all pages of the host. Pages are extracted slot by slot.
+Text is extracted by a heuristic beside it: blocks are main text or not by tags and class words (menus,
+headers, footers, asides, notices, adverts, forms, comments), by links, and, on pages without an article, by
+being the same text at the same place on most pages of the host. The wrapper itself decides no row.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ FOREIGN_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "rep
 #: The last form of a tag is one whose quotes don't pair up.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^>]*)(?:>|$))|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-SAME_PAGES, DEEPEST, TABLE, PERIOD = 5, 60, 250_000, 6
-"""Pages that a host must have before a text on all of them counts as the template's; the depth below which elements count as
+SAME_PAGES, SAME_PERCENT, DEEPEST, TABLE, PERIOD = 5, 80, 60, 250_000, 6
+"""Pages, and percent of the host's pages with any text, that hold a text at one place before it counts as the template's; the depth below which elements count as
 their ancestor's; cells of an alignment table, beyond which lists are joined by name; the longest repeated group."""
 
 
@@ -279,11 +280,17 @@ def place(node: Node | None) -> str:
     return "/".join(node.path) if node else ""
 
 
+def slot(node: Node | None, text: str) -> str:
+    """A text at its place: blocks before it may come and go."""
+    return f"{zlib.crc32(text.encode())} {place(node)}"
+
+
 def observed(pages: DataFrame) -> DataFrame:
     """What the wrappers are inferred from, added up per task: (host, kind, item, n, lo, hi).
 
-    kind 't': a collapsed tree and its pages. kind 's': a slot outside any article, the pages that have it
-    and the least and greatest checksum of its text.
+    kind 't': a collapsed tree and its pages. kind 's': a text (its checksum and place) outside any article,
+    the pages that have it and the least and greatest checksum of such a page's whole text. kind 'b': the
+    pages that have any text.
     """
     names = pa.schema([("host", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
@@ -293,13 +300,13 @@ def observed(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 own: dict[tuple, tuple[int, int]] = {(host, "t", json.dumps(tree(page)[2], separators=(",", ":"))): (0, 0)}
-                slots: dict[str, int] = {}
-                for node, text, _ in blocks(page):
+                found = blocks(page)
+                if found:
+                    own[host, "b", ""] = (0, 0)
+                whole = zlib.crc32("\n".join(text for _, text, _ in found).encode())
+                for node, text, _ in found:
                     if node is None or not node.off and "<main>" not in node.path:
-                        where = place(node)
-                        k = slots[where] = slots.get(where, -1) + 1
-                        crc = zlib.crc32(text.encode())
-                        own[host, "s", f"{k} {where}"] = (crc, crc)
+                        own[host, "s", slot(node, text)] = (whole, whole)
                 for key, (lo, hi) in own.items():
                     if (v := seen.get(key)) is None:
                         seen[key] = [1, lo, hi]
@@ -320,17 +327,18 @@ def observed(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(seen: DataFrame) -> DataFrame:
-    """(host, pages, wrapper, template): each host's expression, and the slots that hold the template's own text.
+    """(host, pages, wrapper, template): each host's expression, and the texts, with their places, that are the template's.
 
-    Trees come in order of their number of pages and are folded into the wrapper one at a time.
+    Those stand on SAME_PERCENT of the pages that have any text, which aren't all one page again. Trees come in order of their number of pages and are folded into the wrapper one at a time.
     """
-    rows = seen.select("host", "kind", "n", "item", "lo", "hi").repartition(shuffle_partitions(seen.sparkSession), "host").sortWithinPartitions("host", F.desc("kind"), F.desc("n"), "item")
+    told = (F.col("kind") != "s") | ((F.col("n") >= SAME_PAGES) & (F.col("lo") < F.col("hi")))
+    rows = seen.filter(told).select("host", "kind", "n", "item", "lo", "hi").repartition(shuffle_partitions(seen.sparkSession), "host").sortWithinPartitions("host", F.desc("kind"), F.desc("n"), "item")
 
     def run(batches):
-        now, whole, pages, template = None, None, 0, []
+        now, whole, pages, filled, template = None, None, 0, 0, []
 
         def done():
-            fixed = [item for item, n in template if n >= SAME_PAGES and n == pages]
+            fixed = [item for item, n in template if 100 * n >= SAME_PERCENT * filled]
             return pa.record_batch([pa.array([x], k) for x, k in ((now, pa.string()), (pages, pa.int64()), (expression(whole or []), pa.string()), (fixed, pa.list_(pa.string())))], names=["host", "pages", "wrapper", "template"])
 
         for batch in batches:
@@ -338,11 +346,13 @@ def wrappers(seen: DataFrame) -> DataFrame:
                 if host != now:
                     if now is not None:
                         yield done()
-                    now, whole, pages, template = host, None, 0, []
+                    now, whole, pages, filled, template = host, None, 0, 0, []
                 if kind == "t":
                     own = json.loads(item)
                     whole, pages = own if whole is None else align(whole, own), pages + n
-                elif lo == hi:
+                elif kind == "b":
+                    filled = n
+                else:
                     template.append((item, n))
         if now is not None:
             yield done()
@@ -356,14 +366,11 @@ def main_text(page: str | None, template: set[str]) -> str:
     inside = [text for node, text, _ in found if node is not None and not node.off and "<main>" in node.path]
     if inside:
         return " ".join(inside)
-    slots: dict[str, int] = {}
     out = []
     for node, text, linked in found:
         if node is not None and node.off:
             continue
-        where = place(node)
-        k = slots[where] = slots.get(where, -1) + 1
-        if f"{k} {where}" not in template and 2 * linked < len(text):
+        if (not template or slot(node, text) not in template) and 2 * linked < len(text):
             out.append(text)
     return " ".join(out)
 

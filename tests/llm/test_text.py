@@ -172,3 +172,13 @@ def test_all_telling_words_become_voters(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = toxicity.fit(d, d.select("doc_id", "toxic"))
     assert (np.round(found.score(bad)) == 1).all() and len(found.features) > 160
+
+
+def test_template_survives_odd_pages(spark):
+    rows = [(k, "http://h.org/x", f"<body>{'<div>Breaking</div>' if k % 4 == 0 else ''}<div>All rights</div><div><p>text {k}</p></div></body>") for k in range(40)]
+    rows += [(100, "http://h.org/n", None), (101, "http://h.org/b", " "), (102, "http://h.org/e", "<body><h1>404</h1></body>")]
+    rows += [(200 + k, "http://copies.org/x", "<body><div>One page</div></body>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(df).collect()}
+    assert all(got[k] == ("Breaking " if k % 4 == 0 else "") + f"text {k}" for k in range(40))
+    assert got[100] == got[101] == "" and got[102] == "404" and got[205] == "One page"
