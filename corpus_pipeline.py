@@ -27,13 +27,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All docs in the order of the Pfair mixture: files and the rows in them follow it, and packing takes them so."""
+    """All docs in the order of the Pfair mixture: files and the rows in them follow it; packing places them anew, as files aren't read in their order."""
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    """The pieces of the packed sequences, with their ids.
+
+    Spark reads the files back by size, so the mixture's order is made again: a row's position depends on the rows alone.
+    """
+    return packing.pack(mixing.mixed(docs), tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

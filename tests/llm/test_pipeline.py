@@ -40,3 +40,19 @@ def test_chat_sql(spark, sf):
     rel = c.sql(ORACLE_SQL["op10_chat_snapshots"])
     df = QUERIES["op10_chat_snapshots"](spark, sf)
     assert sorted(map(str, (tuple(r) for r in df.select(*rel.columns).collect()))) == sorted(map(str, rel.fetchall()))
+
+
+def test_packing_follows_the_slots_whatever_the_files(spark, tmp_path):
+    from lattika.llm import mixing
+
+    rows = [(k, f"text number {k} " * 400, f"src{k % 9}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = {r["doc_id"]: r["position"] for r in mixing.schedule(docs).collect()}
+    # Files of uneven sizes in any order, as a later read may deal them.
+    docs.repartition(3, "source").sortWithinPartitions(F.desc("doc_id")).write.parquet(f"{tmp_path}/d")
+    pieces = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/d"), "").select("doc_id", (F.col("sequence_id") / (1 << 33)).cast("long").alias("part")).collect()
+    spans = {}
+    for r in pieces:
+        spans.setdefault(r["part"], []).append(place[r["doc_id"]])
+    ordered = [spans[k] for k in sorted(spans)]
+    assert len(ordered) > 1 and all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
