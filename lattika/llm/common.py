@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +64,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, but for single longer rows, so many bytes."""
+    for batch in batches:
+        a = 0
+        while a < batch.num_rows:
+            n = min(rows, batch.num_rows - a)
+            while n > 1 and batch.slice(a, n).nbytes > size:
+                n //= 2
+            yield batch.slice(a, n)
+            a += n
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def least_hashes(share: float) -> int:
+    """The greatest of that share of all 64-bit hashes: `hash <= this` holds for the share, however small it is."""
+    return -(1 << 63) + max(0, int((1 << 64) * min(1.0, share)) - 1)
 
 
 def task_number() -> int:
@@ -78,9 +89,3 @@ def task_number() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
-
-
-def broadcast_value(spark: SparkSession, value):
-    """A value of bounded size for executors; callers state the bound."""
-    sc: SparkContext = spark.sparkContext
-    return sc.broadcast(value)

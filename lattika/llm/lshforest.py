@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, in_parts, shuffle_partitions
 from .components import Union, components
 
 WORDS, PERCENT = 5, 85
@@ -115,18 +115,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Slices of at most so many rows and about so many bytes."""
-    for batch in batches:
-        a = 0
-        while a < batch.num_rows:
-            n = min(rows, batch.num_rows - a)
-            while n > 1 and batch.slice(a, n).nbytes > chars:
-                n //= 2
-            yield batch.slice(a, n)
-            a += n
-
-
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, digest of the set (null where it is empty) and signature of each row."""
     names = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])

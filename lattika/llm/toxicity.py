@@ -4,8 +4,10 @@ Voters are mined from labelled rows: words and word beginnings that toxic texts
 clean ones, and a few patterns. A generative model of their votes (fires or abstains, given the class)
 estimates how often each fires in either class, and which voters say the same again: voters that are
 correlated within a class share their weight. A voter that is silent abstains; that none of the lexicon
-fires is a voter of its own, for clean. Its posteriors label a sample, on which a linear classifier
-is trained; that classifier scores all texts. Doc_id, source, language and labels never enter a score.
+fires is a voter of its own, for clean. Labels choose voters and set where the model's rates start; they are
+no input of a posterior: the votes alone label every sampled row, so a wrong label is overruled. On these
+posteriors a linear classifier is trained, which scores all texts. Doc_id, source, language and labels never
+enter a score.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import Scratch, in_parts
 from .lshforest import mix
 from .tokens import CODE, LIMIT, powers
 
-TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS = 4_000, 16_000, 8_000
-"""Bounds of the training sample: labelled toxic and clean rows, and rows without a usable label."""
+TOXIC_ROWS, CLEAN_ROWS = 4_000, 16_000
+"""Bounds of the training sample, in labelled toxic and clean rows."""
 LIFT, SUPPORT, EVIDENCE = 12.0, 3, 12.0
 """How much likelier a toxic text must hold a feature that becomes a voter, in how many texts at least, and the
 log-likelihood ratio that tells it from chance among several hundred thousand features. Nothing else bounds the voters."""
@@ -142,7 +146,7 @@ class Words:
         return np.stack([share(p == ord("!")) > 0.02, share(self.upper[p]) > 0.5, share(repeated) > 0, share(masked) > 0], axis=1).astype(np.float64)
 
 
-def pieces(columns: list, rows: int = 128, chars: int = 1 << 20):
+def pieces(columns: list, rows: int = 128, chars: int = 1 << 18):
     """Rows of a batch in pieces of bounded size; the first column holds texts."""
     a, n = 0, len(columns[0])
     while a < n:
@@ -162,7 +166,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: list[np.ndarray] = []
-        for batch in batches:
+        for batch in in_parts(batches):
             for (part,) in pieces([batch.column(0).to_pylist()]):
                 f, d = (np.concatenate(c) for c in zip(*Words(part).features(), strict=True))
                 # Within a text each feature counts once.
@@ -268,33 +272,30 @@ def independent(row: np.ndarray, voter: np.ndarray, n: int, known: np.ndarray, l
 # ---- the label model
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, prior: float, fires: tuple[np.ndarray, np.ndarray], strength: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of class 1, the voters' accuracies, and their correlations within a class, by EM.
+def label_model(votes: np.ndarray, prior: float, fires: tuple[np.ndarray, np.ndarray], strength: tuple[float, float], rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of class 1, the voters' accuracies, and their correlations within a class, by EM over the votes.
 
     votes: rows of 0 and 1. prior: the share of class 1, which stays: silence says nothing here, so votes alone
-    don't tell it. known: 0, 1, or -1 where no label may be used. fires: how often each voter fires
-    in class 0 and 1 among the labelled rows, which counts as `strength` rows, and as twice those given at
-    least: with abstaining voters a weak one that often fires alone would else make itself right.
+    don't tell it. fires: how often each voter fires in class 0 and 1 among the labelled rows, which counts as
+    `strength` rows of each class: without such an anchor a weak voter that often fires alone makes itself right.
+    A voter's accuracy is the chance that a row on which it fires is of class 1, were both classes as common;
+    the log-odds of that is its weight, divided by the correlations with the voters that say the same.
     """
-    strength = max(strength, 2.0 * len(votes))
-    low, high = (np.clip(f, 1e-5, 1 - 1e-5) for f in fires)
-    first = (low, high)
-    weight = np.ones(votes.shape[1])
-    free, prior = known < 0, float(np.clip(prior, 1e-3, 0.999))
-    correlation = np.eye(votes.shape[1])
+    low, high = first = [np.clip(f, 1e-5, 1 - 1e-5) for f in fires]
+    prior = float(np.clip(prior, 1e-3, 0.999))
+    share, correlation = np.ones(votes.shape[1]), np.eye(votes.shape[1])
     for turn in range(rounds):
-        z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(high / low))
-        post = np.where(free, 1 / (1 + np.exp(-np.clip(z, -40, 40))), known)
-        high = np.clip((post @ votes + strength * first[1]) / (post.sum() + strength), 1e-5, 1 - 1e-5)
-        low = np.clip(((1 - post) @ votes + strength * first[0]) / ((1 - post).sum() + strength), 1e-5, 1 - 1e-5)
+        accuracy = high / (high + low)
+        z = np.log(prior / (1 - prior)) + votes @ (share * np.log(accuracy / (1 - accuracy)))
+        post = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        low, high = (np.clip((p @ votes + n * f) / (p.sum() + n), 1e-5, 1 - 1e-5) for p, n, f in zip((1 - post, post), strength, first, strict=True))
         if turn in (2, 6):
             off = np.concatenate([np.sqrt(post)[:, None] * (votes - high), np.sqrt(1 - post)[:, None] * (votes - low)])
             spread = np.sqrt(np.maximum((off**2).sum(0), 1e-9))
             correlation = (off.T @ off) / np.outer(spread, spread)
             strong = np.where(correlation > 0.5, correlation, 0.0)
             np.fill_diagonal(strong, 1.0)
-            weight = 1 / strong.sum(1)
-    accuracy = (post @ votes + (1 - post) @ (1 - votes)) / len(votes)
+            share = 1 / strong.sum(1)
     return post, accuracy, correlation
 
 
@@ -314,18 +315,28 @@ def classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 3
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), on samples within the bounds above.
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic) of at most TOXIC_ROWS toxic and CLEAN_ROWS clean documents, and the share of toxic labels.
 
-    labels must hold only rows that may be learnt from; several labels of one document count as the largest.
-    Without toxic or clean rows every text scores the share of toxic ones.
+    The documents with the least hashes are taken, so that the bound is exact at any size; one that has
+    several rows gives one of its texts, one with several labels counts as the largest.
     """
     y = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    taken = y.filter(((F.col("toxic") == 1) & (share < int(1_000_000 * min(1, TOXIC_ROWS / max(1, n.get(1, 0)))))) | ((F.col("toxic") == 0) & (share < int(1_000_000 * min(1, CLEAN_ROWS / max(1, n.get(0, 0)))))))
-    # The sample is bounded by TOXIC_ROWS + CLEAN_ROWS ids, so it may go to every task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").filter("text is not null")
+    least = [y.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    # At most TOXIC_ROWS + CLEAN_ROWS ids, so they may go to every task.
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(least[0].unionByName(least[1])), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), n.get(1, 0) / max(1, sum(n.values()))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), on a sample within the bounds above.
+
+    labels must hold only rows that may be learnt from. Without toxic or clean rows every text scores the
+    share of toxic ones.
+    """
+    rows, prior = sampled(docs, labels)
+    rows = Scratch(docs.sparkSession, "toxicity").cut(rows, "sample")
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     width = len(PATTERNS) + 1
@@ -333,30 +344,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(width), float(np.log(rate / (1 - rate))))
     toxic_rows, clean_rows = rows.filter("toxic = 1"), rows.filter("toxic = 0")
-    mined = np.array(sorted((r["feature"] & (1 << 64) - 1, r["toxic"], r["clean"]) for r in telling(toxic_rows, clean_rows, n_toxic, n_clean).toLocalIterator()), np.uint64).reshape(-1, 3)
+    mined = np.array(sorted((r["feature"] & (1 << 64) - 1, r["toxic"], r["clean"]) for r in telling(toxic_rows, clean_rows, n_toxic, n_clean).collect()), np.uint64).reshape(-1, 3)
     features, toxic, clean = np.ascontiguousarray(mined[:, 0]), mined[:, 1].astype(np.int64), mined[:, 2].astype(np.int64)
     spelling = spelled(toxic_rows, features)
     keep = np.array(sorted(chosen(features, toxic, clean, n_toxic, n_clean, spelling), key=lambda k: int(features[k])), np.int64)
     alone = independent(*fires_of(rows, features[keep]))
     model = Model(features[keep][alone], spelling={int(f): spelling[int(f)] for f in features[keep]})
-    total = docs.count()
-    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1, OPEN_ROWS / max(1, total))))
-    open_rows = some.select("text", F.lit(-1).alias("toxic"))
-    x, known = inputs_of(rows.select("text", "toxic").unionByName(open_rows), model)
-    lexicon = x[:, : len(alone)]
-    votes = np.concatenate([lexicon, x[:, len(alone) : -1], lexicon.sum(1, keepdims=True) == 0], axis=1).astype(np.float64)
+    x, known = inputs_of(rows.select("text", "toxic"), model)
+    votes = votes_of(x, len(alone))
     fires = tuple(((votes[known == c].sum(0) + 0.5) / ((known == c).sum() + 1)) for c in (0, 1))
-    post, model.accuracy, model.correlation = label_model(votes, known, n.get(1, 0) / max(1, sum(n.values())), fires, float(n_toxic + n_clean))
+    post, model.accuracy, model.correlation = label_model(votes, prior, fires, (float(n_clean), float(n_toxic)))
     model.weights, model.bias = classifier(x, post)
     return model
 
 
+def votes_of(x: np.ndarray, n: int) -> np.ndarray:
+    """The votes that the classifier's inputs of n lexicon voters stand for: lexicon, patterns, and that the lexicon is silent."""
+    return np.concatenate([x[:, :-1], x[:, :n].sum(1, keepdims=True) == 0], axis=1).astype(np.float64)
+
+
 def spelled(texts: DataFrame, features: np.ndarray) -> dict[int, tuple[str, bool]]:
     """The texts of some features: at most len(features) lines a task come back."""
 
     def run(batches):
         left, out = set(features.tolist()), {}
-        for batch in batches:
+        for batch in in_parts(batches):
             for (part,) in pieces([batch.column(0).to_pylist()]):
                 if left:
                     out |= (got := Words(part).spelled(left))
@@ -371,7 +383,7 @@ def fires_of(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Which features fire on which labelled rows, as rows' numbers and features' places; how many features; the rows' classes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             for texts, known in pieces([batch.column(0).to_pylist(), batch.column(1).to_pylist()]):
                 own = [[] for _ in texts]
                 if len(features):
@@ -381,7 +393,7 @@ def fires_of(rows: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndar
                             own[doc[i]].append(at[i])
                 yield pa.record_batch([pa.array([np.unique(np.array(o, np.int32)).tobytes() for o in own], pa.binary()), pa.array(known, pa.int32())], names=["v", "y"])
 
-    got = [(np.frombuffer(r["v"], np.int32), r["y"]) for r in rows.select("text", "toxic").mapInArrow(run, "v binary, y int").toLocalIterator()]
+    got = [(np.frombuffer(r["v"], np.int32), r["y"]) for r in rows.select("text", "toxic").mapInArrow(run, "v binary, y int").collect()]
     voter = np.concatenate([np.zeros(0, np.int32), *(g[0] for g in got)])
     return np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), voter, len(features), np.array([g[1] for g in got])
 
@@ -390,12 +402,12 @@ def inputs_of(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The classifier's inputs and the known classes of the sample."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             for texts, known in pieces([batch.column(0).to_pylist(), batch.column(1).to_pylist()]):
                 x = model.inputs(Words(texts)).astype(np.float32)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(known, pa.int32())], names=["x", "y"])
 
-    got = [(r["x"], r["y"]) for r in rows.mapInArrow(run, "x binary, y int").toLocalIterator()]
+    got = [(r["x"], r["y"]) for r in rows.mapInArrow(run, "x binary, y int").collect()]
     return np.frombuffer(b"".join(g[0] for g in got), np.float32).reshape(len(got), -1).astype(np.float64), np.array([g[1] for g in got])
 
 
@@ -407,28 +419,35 @@ def usable(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "toxic").filter(f"doc_id is not null and not ({HELD_OUT})")
 
 
-def scored(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The columns asked for as _0, _1, ..., with _score and _predicted, of every row. A null text counts as empty."""
-    kinds = [docs.schema[c] for c in columns]
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+def scored(docs: DataFrame, model: Model, columns: list[str], least: int = 0, most: int = 1) -> DataFrame:
+    """The columns asked for as _0, _1, ..., with _score and _predicted, of every row predicted from `least` to `most`.
 
+    A null text counts as empty. The text goes to the workers once, and whole batches are never turned to
+    Python objects: parts of bounded size are scored and filtered by mask.
+    """
+    kinds = [docs.schema[c] for c in columns]
     out = StructType([*[StructField(f"_{i}", k.dataType) for i, k in enumerate(kinds)], StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
+    at = columns.index("text") if "text" in columns else len(columns)
+    n = len(columns)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            at, score = 0, np.zeros(len(texts))
-            for (part,) in pieces([texts]):
-                score[at : at + len(part)] = model.score(part)
-                at += len(part)
+        for batch in in_parts(batches):
+            score = np.concatenate([model.score(part) for (part,) in pieces([batch.column(at).to_pylist()])])
             score = np.round(score, 9)
-            yield pa.record_batch([*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=out.names)
+            predicted = (score >= 0.5).astype(np.int32)
+            got = pa.record_batch([*batch.columns[:n], pa.array(score), pa.array(predicted)], names=out.names)
+            yield got if (least, most) == (0, 1) else got.filter(pa.array((predicted >= least) & (predicted <= most)))
 
-    return docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], F.col("text").alias("_text")).mapInArrow(run, out)
+    sent = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)] + ([] if at < n else [F.col("text").alias("_text")])
+    return docs.select(*sent).mapInArrow(run, out)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; a row without doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row; a row without doc_id is not held out.
+
+    A null or empty text is scored as one on which no voter fires; a long one is scored whole; repeated rows
+    score alike; an empty table gives an empty result; other columns are ignored.
+    """
     model = fit(docs, usable(labels))
     held = F.coalesce(F.expr(HELD_OUT), F.lit(False))
     got = scored(docs, model, ["doc_id"]).select(F.col("_0").alias("doc_id"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
@@ -436,7 +455,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier calls toxic."""
+    """docs, with its own columns, without the rows that the classifier calls toxic; rows are judged as in judged()."""
     model = fit(docs, usable(labels))
     names = docs.columns
-    return scored(docs, model, names).filter("_predicted = 0").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    return scored(docs, model, names, most=0).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])

@@ -59,7 +59,7 @@ def test_label_model_finds_accuracies_and_copies():
     votes = np.stack([rng.random(4000) < np.where(y == 1, a, b) for a, b in zip(*fire, strict=True)], axis=1).astype(float)
     # A copy of the first voter, and the voter for clean that fires where the four are silent.
     votes = np.concatenate([votes, votes[:, :1], votes.sum(1, keepdims=True) == 0], axis=1)
-    post, _, correlation = toxicity.label_model(votes, np.full(4000, -1), 0.3, (np.array([*fire[1], 0.01, 0.66]), np.array([*fire[0], 0.6, 0.06])), 50.0)
+    post, _, correlation = toxicity.label_model(votes, 0.3, (np.array([*fire[1], 0.01, 0.66]), np.array([*fire[0], 0.6, 0.06])), (2800.0, 1200.0))
     assert ((post > 0.5) == y).mean() > 0.9
     assert correlation[0, 4] > 0.9 and abs(correlation[0, 1]) < 0.3
 
@@ -182,3 +182,41 @@ def test_template_survives_odd_pages(spark):
     got = {r["page_id"]: r["text"] for r in wrappers.extracted(df).collect()}
     assert all(got[k] == ("Breaking " if k % 4 == 0 else "") + f"text {k}" for k in range(40))
     assert got[100] == got[101] == "" and got[102] == "404" and got[205] == "One page"
+
+
+def test_votes_overrule_single_wrong_labels():
+    rng = np.random.default_rng(3)
+    y = np.arange(1000) < 300
+    votes = np.stack([(rng.random(1000) < 0.7) & y, (rng.random(1000) < 0.6) & y, (rng.random(1000) < 0.5) & y], axis=1).astype(float)
+    votes = np.concatenate([votes, votes.sum(1, keepdims=True) == 0], axis=1)
+    label = y.copy()
+    wrong = np.flatnonzero(votes[:, :2].all(1))[:5]
+    label[wrong] = False
+    fires = tuple((votes[label == c].sum(0) + 0.5) / ((label == c).sum() + 1) for c in (False, True))
+    post, accuracy, _ = toxicity.label_model(votes, 0.3, fires, (700.0, 300.0))
+    assert (post[wrong] > 0.9).all() and (accuracy[:3] > 0.9).all() and accuracy[3] < 0.5
+
+
+def test_words_against_a_plain_matcher():
+    import re
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcAB éß .,'-19\n") for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["", "x" * 5000 + " abc"]
+    words = toxicity.Words(texts)
+    plain = [[w.lower() if len(w.lower()) == len(w) else w for w in re.findall(r"[^\W\d_]+", t)] for t in texts]
+    kinds = [lambda w: w, *[lambda w, k=k: w[:k] if len(w) >= k else None for k in toxicity.PREFIXES]]
+    for (hashes, doc), of in zip(words.features(), kinds, strict=True):
+        want = [[x for w in ws if (x := of(w)) is not None] for ws in plain]
+        name = {}
+        for h, d in zip(hashes.tolist(), doc.tolist(), strict=True):
+            assert name.setdefault(h, w := want[d].pop(0)) == w
+        assert not any(want) and len(set(name.values())) == len(name)
+
+
+def test_repeated_rows_and_labels_keep_the_sample_bounded(spark):
+    docs, labels = corpus(400)
+    d = spark.createDataFrame([(k % 40, t) for k, t, _, _ in docs] + [(None, "x")], "doc_id long, text string")
+    y = spark.createDataFrame([(k % 40, z) for k, _, z in labels], "doc_id long, toxic int")
+    rows, share = toxicity.sampled(d, y)
+    assert rows.count() == rows.select("doc_id").distinct().count() == 40 and 0 < share < 1
+    assert toxicity.judged(d, y).count() == 401
