@@ -1,12 +1,16 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a tree of elements, each named by its tag and class words, with text slots. Equal neighbours
-collapse to a repeated group. Pages with the same collapsed tree count once. The trees of a host are then
-aligned one after another: matching elements are aligned inside, what only one side has becomes an
-optional group, an element against several of its kind a repeated group. The result is the host's wrapper.
-Text is extracted by a heuristic beside it: blocks are main text or not by tags and class words (menus,
-headers, footers, asides, notices, adverts, forms, comments), by links, and, on pages without an article, by
-being the same text at the same place on most pages of the host. The wrapper itself decides no row.
+A page is a tree of elements, each named by its tag and class words, with text slots. A slot's name holds
+what tags and class words hint: `#+` stands in an article, `#` elsewhere; text that they call a menu, header,
+footer, aside, notice, advert, form or comment has none. Equal neighbours collapse to a repeated item, runs of
+names that recur to a repeated group. The trees of a host are aligned one after another: matching elements
+are aligned inside, what only one side has becomes optional. The result is the host's wrapper. Its slots
+know how many characters they took, how many of them in links, and the literals: texts that stand at that
+place on most pages of the host.
+
+A page is extracted by walking it and its host's wrapper together: each element moves on in the expression,
+each block of text falls into a slot, and the slot decides. Article slots are kept. Others are kept on pages
+that fill no article slot, unless the slot's text is mostly links over all pages, or the text is a literal.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import shuffle_partitions
+from .common import Scratch, in_parts, shuffle_partitions
 
 # Elements of HTML and words that name what isn't the article.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -44,9 +51,10 @@ FOREIGN_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "rep
 #: The last form of a tag is one whose quotes don't pair up.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|([^>]*)(?:>|$))|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-SAME_PAGES, SAME_PERCENT, DEEPEST, TABLE, PERIOD = 5, 80, 60, 250_000, 6
-"""Pages, and percent of the host's pages with any text, that hold a text at one place before it counts as the template's; the depth below which elements count as
-their ancestor's; cells of an alignment table, beyond which lists are joined by name; the longest repeated group."""
+SAME_PERCENT, DEEPEST, PERIOD, FOLDS = 80, 60, 6, 256
+"""Percent of the host's pages with any text that hold a text at one place before it is a literal; the depth from which
+elements share their ancestor's slot (their texts and hints stay their own); the longest repeated group that is looked
+for; parts in which a host's trees are folded before the parts' wrappers are."""
 
 
 class Node:
@@ -133,18 +141,20 @@ def parse(page: str | None) -> Iterator[tuple]:
         yield "close", stack.pop()
 
 
-def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
-    """(element, text, characters of it in links) of each block of text, in page order, spaces made one."""
-    out: list[tuple[Node | None, str, int]] = []
+def walk(page: str | None, root, opened, said, closed=None) -> None:
+    """Reads a page once. opened(state, node) gives the state of an element below `state`; said(state, node, text,
+    linked) takes each block of text with spaces made one and the characters of it in links; closed(state) ends an element.
+    """
+    states: list = [(root, 0)]
     part: list[str] = []
-    owner: Node | None = None
+    owner, where = None, root
     linked, links, blank = 0, 0, True
 
     def end() -> None:
         nonlocal linked, blank
         words = " ".join(entities.unescape("".join(part)).split())
         if words:
-            out.append((owner, words, linked))
+            said(where, owner, words, linked)
         part.clear()
         linked, blank = 0, True
 
@@ -155,7 +165,7 @@ def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
             if part and (owner.off if owner else False) != off:
                 end()
             if blank:
-                owner, blank = node, not step[2].strip()
+                owner, where, blank = node, states[-1][0], not step[2].strip()
             part.append(step[2])
             if links:
                 linked += len(step[2].strip())
@@ -166,109 +176,268 @@ def blocks(page: str | None) -> list[tuple[Node | None, str, int]]:
                 links = max(0, links + (1 if what == "open" else -1))
             if node.tag not in INLINE:
                 end()
+            if what == "open":
+                state, depth = states[-1]
+                own = node.tag not in INLINE and depth < DEEPEST
+                states.append((opened(state, node), depth + 1) if own else (state, depth))
+            else:
+                state, depth = states.pop()
+                if closed and depth > states[-1][1]:
+                    closed(state)
     end()
-    return out
 
 
-# ---- wrappers: trees as [name, mark, children], mark '' for once, '?' for optional, '+' for repeated, '*' for both; '#' is a text slot
+def name_of(node: Node) -> str:
+    return next(x for x in reversed(node.path) if not x.startswith(("!", "<")))
 
 
-def tree(page: str | None) -> list:
-    """The page's elements and text slots, equal neighbours collapsed."""
-    root: list = ["", "", []]
-    stack = [root]
-    for step in parse(page):
-        if step[0] == "text":
-            if step[2].strip() and (not stack[-1][2] or stack[-1][2][-1][0] != "#"):
-                stack[-1][2].append(["#", "", []])
-        elif step[0] == "open":
-            if step[1].tag in INLINE or len(stack) > DEEPEST:
-                if not stack[-1][2] or stack[-1][2][-1][0] != "#":
-                    stack[-1][2].append(["#", "", []])
-                stack.append(["", "", []])
-            else:
-                node = [step[1].path[-1] if not step[1].path[-1].startswith(("!", "<")) else next(x for x in reversed(step[1].path) if not x.startswith(("!", "<"))), "", []]
-                stack[-1][2].append(node)
-                stack.append(node)
-        elif step[0] == "close":
-            done = stack.pop()
-            done[2] = collapse(done[2])
-    root[2] = collapse(root[2])
-    return root
+def slot_name(node: Node | None) -> str:
+    return "#+" if node is not None and "<main>" in node.path else "#"
+
+
+# ---- wrappers
+
+
+class Item:
+    """A part of a wrapper: an element, a text slot (`#+`, `#`) or a group of items (`()`).
+
+    mark: '' for once, '?' for optional, '+' for repeated, '*' for both. stats of a slot: characters, and those in links.
+    """
+
+    __slots__ = ("name", "mark", "kids", "stats", "key")
+
+    def __init__(self, name: str, mark: str = "", kids: list[Item] | None = None, stats: tuple[int, int] = (0, 0)):
+        self.name, self.mark, self.kids, self.stats = name, mark, kids or [], stats
+        self.key = hash((name, mark, tuple(k.key for k in self.kids)))
+
+    def plain(self) -> list:
+        return [self.name, self.mark, list(self.stats) if self.name[0] == "#" else [k.plain() for k in self.kids]]
+
+
+def item_of(plain: list) -> Item:
+    name, mark, rest = plain
+    return Item(name, mark, None, tuple(rest)) if name[0] == "#" else Item(name, mark, [item_of(k) for k in rest])
+
+
+class Growing:
+    """An element while its page is read."""
+
+    __slots__ = ("name", "kids", "up", "place")
+
+    def __init__(self, name: str, up: Growing | None):
+        self.name, self.kids, self.up = name, [], up
+        self.place = f"{up.place}/{name}" if up and up.place else name
+
+
+def observe(page: str | None) -> tuple[list[Item], list[tuple[str, str]], str]:
+    """The page's collapsed items; (place, text) of its blocks that are in no article; all its text."""
+    root = Growing("", None)
+    outside: list[tuple[str, str]] = []
+    whole: list[str] = []
+
+    def opened(state: Growing, node: Node) -> Growing:
+        return Growing(name_of(node), state)
+
+    def said(state: Growing, node: Node | None, text: str, linked: int) -> None:
+        whole.append(text)
+        if node is None or not node.off:
+            name = slot_name(node)
+            state.kids.append(Item(name, "", None, (len(text), linked)))
+            if name == "#":
+                outside.append((state.place, text))
+
+    def closed(state: Growing) -> None:
+        kids = collapse(state.kids)
+        # What holds no text has a name only.
+        state.up.kids.append(Item(state.name, "", kids if any(k.kids or k.name[0] == "#" for k in kids) else []))
+
+    walk(page, root, opened, said, closed)
+    return collapse(root.kids), outside, "\n".join(whole)
 
 
 def join_marks(a: str, b: str) -> str:
-    option, repeat = a in "?*" and a != "" or b in "?*" and b != "", a in "+*" and a != "" or b in "+*" and b != ""
+    both = {*a, *b}
+    option, repeat = both & {"?", "*"}, both & {"+", "*"}
     return "*" if option and repeat else "?" if option else "+" if repeat else ""
 
 
-def joined(one: list, two: list, mark: str) -> list:
+def joined(one: Item, two: Item, mark: str = "") -> Item:
     """Two items of one name as one."""
-    return [one[0], "" if one[0] == "#" else join_marks(join_marks(one[1], two[1]), mark), one[2] if one[2] == two[2] else align(one[2], two[2])]
+    if one.name[0] == "#":
+        return Item(one.name, join_marks(join_marks(one.mark, two.mark), mark), None, (one.stats[0] + two.stats[0], one.stats[1] + two.stats[1]))
+    return Item(one.name, join_marks(join_marks(one.mark, two.mark), mark), align(one.kids, two.kids))
 
 
-def collapse(items: list) -> list:
-    """Neighbours of one name become one repeated item; runs of a few names that recur become a repeated group, named `()`."""
-    out: list = []
+def collapse(items: list[Item]) -> list[Item]:
+    """Neighbours of one name become one repeated item; runs of a few names that recur become a repeated group."""
+    out: list[Item] = []
     for item in items:
-        if out and out[-1][0] == item[0]:
-            out[-1] = joined(out[-1], item, "+")
-        elif out and out[-1][0] == "()" and out[-1][2][-1][0] == item[0]:
-            inner = out[-1][2]
-            out[-1] = ["()", out[-1][1], [*inner[:-1], joined(inner[-1], item, "+")]]
+        if out and out[-1].name == item.name and item.name != "()":
+            out[-1] = joined(out[-1], item, "" if item.name[0] == "#" else "+")
+        elif out and out[-1].name == "()" and out[-1].kids[-1].name == item.name:
+            inner = out[-1].kids
+            out[-1] = Item("()", out[-1].mark, [*inner[:-1], joined(inner[-1], item, "" if item.name[0] == "#" else "+")])
         else:
             out.append(item)
         for n in range(2, PERIOD + 1):
             last = out[-n:]
-            if len(out) > n and out[-n - 1][0] == "()" and [x[0] for x in out[-n - 1][2]] == [x[0] for x in last]:
+            if len(out) > n and out[-n - 1].name == "()" and [x.name for x in out[-n - 1].kids] == [x.name for x in last]:
                 group = out[-n - 1]
-                group = ["()", group[1], [joined(a, b, "") for a, b in zip(group[2], last, strict=True)]]
-                out[-n - 1 :] = [group]
+                out[-n - 1 :] = [Item("()", group.mark, [joined(a, b) for a, b in zip(group.kids, last, strict=True)])]
                 break
-            if len(out) >= 2 * n and not any(x[0] == "()" for x in out[-2 * n :]) and [x[0] for x in out[-2 * n : -n]] == [x[0] for x in last]:
-                out[-2 * n :] = [["()", "+", [joined(a, b, "") for a, b in zip(out[-2 * n : -n], last, strict=True)]]]
+            if len(out) >= 2 * n and not any(x.name == "()" for x in out[-2 * n :]) and [x.name for x in out[-2 * n : -n]] == [x.name for x in last]:
+                out[-2 * n :] = [Item("()", "+", [joined(a, b) for a, b in zip(out[-2 * n : -n], last, strict=True)])]
                 break
     return out
 
 
-def by_name(one: list, two: list) -> list:
-    """The items of two long lists, each name once, as repeated optional ones."""
-    found: dict[str, list] = {}
-    for item in [*one, *two]:
-        name = item[0] if item[0] != "()" else "(" + " ".join(x[0] for x in item[2]) + ")"
-        found[name] = joined(found[name], item, "*") if name in found else [item[0], "" if item[0] == "#" else "*", item[2]]
-    return list(found.values())
+def lengths(one: list[str], two: list[str]) -> Iterator[int]:
+    """For each prefix of `one` a number whose zero bits tell where the longest common subsequence with prefixes of `two` grows."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(two):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    for x in one:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def common(one: list[str], two: list[str], bits: int = 1 << 29) -> list[tuple[int, int]]:
+    """A longest common subsequence, as pairs of places. Bit-parallel rows; beyond `bits` of them the lists are halved."""
+    if len(one) > 1 and len(one) * len(two) > bits:
+        half = len(one) // 2
+        grown = []
+        for x, y in ((one[:half], two), (one[half:][::-1], two[::-1])):
+            for last in lengths(x, y):
+                pass
+            grown.append(list(accumulate((int(not last >> j & 1) for j in range(len(two))), initial=0)))
+        cut = max(range(len(two) + 1), key=lambda j: grown[0][j] + grown[1][len(two) - j])
+        return common(one[:half], two[:cut], bits) + [(i + half, j + cut) for i, j in common(one[half:], two[cut:], bits)]
+    full = (1 << len(two)) - 1
+    rows = [full, *lengths(one, two)]
+    out: list[tuple[int, int]] = []
+    i, j = len(one), len(two)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
-def align(one: list, two: list) -> list:
+def align(one: list[Item], two: list[Item]) -> list[Item]:
     """The items of both in order: those of one name are aligned inside, those of one side become optional."""
-    if one == two:
-        return one
-    n, m = len(one), len(two)
-    if n * m > TABLE:
-        return by_name(one, two)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if one[i][0] == two[j][0] else 0)
-    out: list = []
+    names_one, names_two = [x.name for x in one], [x.name for x in two]
+    if names_one == names_two:
+        return [joined(a, b) for a, b in zip(one, two, strict=True)]
+    alone = lambda x: Item(x.name, join_marks(x.mark, "?"), x.kids, x.stats)
+    out: list[Item] = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and one[i][0] == two[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append([one[i][0], join_marks(one[i][1], two[j][1]), align(one[i][2], two[j][2])])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([one[i][0], join_marks(one[i][1], "?"), one[i][2]])
-            i += 1
-        else:
-            out.append([two[j][0], join_marks(two[j][1], "?"), two[j][2]])
-            j += 1
+    for to_i, to_j in [*common(names_one, names_two), (len(one), len(two))]:
+        out += [alone(x) for x in one[i:to_i]] + [alone(x) for x in two[j:to_j]]
+        if to_i < len(one):
+            out.append(joined(one[to_i], two[to_j]))
+        i, j = to_i + 1, to_j + 1
     return collapse(out)
 
 
-def expression(items: list) -> str:
+def expression(items: list[Item]) -> str:
     """A wrapper as a union-free regular expression."""
-    return "".join(("#" if x[0] == "#" else f"<{x[0]}>{expression(x[2])}") + (f"{x[1]}" if not x[2] or not x[1] else f"</{x[0]}>{x[1]}") for x in items)
+    return "".join((x.name if x.name[0] == "#" else f"<{x.name}>{expression(x.kids)}") + (x.mark if not x.kids or not x.mark else f"</{x.name}>{x.mark}") for x in items)
+
+
+class Compiled:
+    """An element of a wrapper as pages walk it: its items with groups laid flat, and where each name stands among them."""
+
+    __slots__ = ("items", "group", "at", "literals", "inner")
+
+    def __init__(self, items: list[Item], literals: dict[str, set[int]], place: str = ""):
+        self.items: list[Item] = []
+        self.group: list[tuple[int, int]] = []
+        self.flat(items)
+        self.at: dict[str, list[int]] = {}
+        for k, x in enumerate(self.items):
+            self.at.setdefault(x.name, []).append(k)
+        self.literals = literals.get(place, frozenset())
+        below = lambda x: f"{place}/{x.name}" if place else x.name
+        self.inner = [Compiled(x.kids, literals, below(x)) if x.name[0] != "#" else None for x in self.items]
+
+    def flat(self, items: list[Item], group: tuple[int, int] | None = None) -> None:
+        for x in items:
+            if x.name == "()":
+                a = len(self.items)
+                self.flat(x.kids, (a, a))
+                b = len(self.items)
+                self.group[a:b] = [(a, b)] * (b - a)
+            else:
+                self.items.append(x)
+                self.group.append((len(self.items) - 1, len(self.items)))
+
+    def move(self, now: int, name: str) -> int | None:
+        """Where the expression goes on from place `now` with this name: the item itself if it repeats, its group, what follows, or what came before."""
+        places = self.at.get(name)
+        if not places:
+            return None
+        if now >= 0:
+            if self.items[now].name == name and self.items[now].mark in ("+", "*"):
+                return now
+            a, b = self.group[now]
+            if b - a > 1:
+                k = bisect_right(places, now)
+                for at in (*places[k : k + 1], *places[bisect_left(places, a) :][:1]):
+                    if a <= at < b:
+                        return at
+        k = bisect_right(places, now)
+        return places[k] if k < len(places) else places[0]
+
+
+class Cursor:
+    """How far a page has come in an element of the wrapper; at None the wrapper doesn't know the element."""
+
+    __slots__ = ("at", "now")
+
+    def __init__(self, at: Compiled | None):
+        self.at, self.now = at, -1
+
+    def step(self, name: str) -> int | None:
+        k = self.at.move(self.now, name) if self.at is not None else None
+        if k is not None:
+            self.now = k
+        return k
+
+
+def main_text(page: str | None, wrapper: Compiled | None = None) -> str:
+    """The text of the page's article slots, or, if it fills none, of the others that the wrapper doesn't rule out."""
+    inside: list[str] = []
+    outside: list[str] = []
+
+    def opened(state: Cursor, node: Node) -> Cursor:
+        k = state.step(name_of(node))
+        return Cursor(state.at.inner[k] if k is not None else None)
+
+    def said(state: Cursor, node: Node | None, text: str, linked: int) -> None:
+        if node is not None and node.off:
+            return
+        name = slot_name(node)
+        k = state.step(name)
+        if name == "#+":
+            inside.append(text)
+            return
+        if k is None:  # not in the wrapper: the block has to speak for itself
+            if 2 * linked < len(text):
+                outside.append(text)
+            return
+        chars, in_links = state.at.items[k].stats
+        if 2 * in_links < chars and (not state.at.literals or zlib.crc32(text.encode()) not in state.at.literals):
+            outside.append(text)
+
+    walk(page, Cursor(wrapper), opened, said)
+    return " ".join(inside or outside)
 
 
 def host_of(url: str | None) -> str:
@@ -276,130 +445,153 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def place(node: Node | None) -> str:
-    return "/".join(node.path) if node else ""
-
-
-def slot(node: Node | None, text: str) -> str:
-    """A text at its place: blocks before it may come and go."""
-    return f"{zlib.crc32(text.encode())} {place(node)}"
+SEEN = pa.schema([("host", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def observed(pages: DataFrame) -> DataFrame:
     """What the wrappers are inferred from, added up per task: (host, kind, item, n, lo, hi).
 
-    kind 't': a collapsed tree and its pages. kind 's': a text (its checksum and place) outside any article,
-    the pages that have it and the least and greatest checksum of such a page's whole text. kind 'b': the
-    pages that have any text.
+    kind 't': a collapsed tree with its slots' characters, and its pages. kind 's': a text (its checksum and
+    place) outside any article, the pages that have it and the least and greatest checksum of such a page's
+    whole text. kind 'b': the pages that have any text.
     """
-    names = pa.schema([("host", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches):
+        trees: dict[tuple, tuple[int, list[Item]]] = {}
         seen: dict[tuple, list[int]] = {}
-        for batch in batches:
+        for batch in in_parts(batches):
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
-                own: dict[tuple, tuple[int, int]] = {(host, "t", json.dumps(tree(page)[2], separators=(",", ":"))): (0, 0)}
-                found = blocks(page)
-                if found:
-                    own[host, "b", ""] = (0, 0)
-                whole = zlib.crc32("\n".join(text for _, text, _ in found).encode())
-                for node, text, _ in found:
-                    if node is None or not node.off and "<main>" not in node.path:
-                        own[host, "s", slot(node, text)] = (whole, whole)
-                for key, (lo, hi) in own.items():
-                    if (v := seen.get(key)) is None:
-                        seen[key] = [1, lo, hi]
+                items, outside, text = observe(page)
+                key = (host, tuple(x.key for x in items))
+                n, have = trees.get(key, (0, None))
+                trees[key] = (n + 1, items if have is None else align(have, items))
+                whole = zlib.crc32(text.encode())
+                own = {(host, "s", f"{zlib.crc32(t.encode())} {place}") for place, t in outside} | ({(host, "b", "")} if text else set())
+                for k in own:
+                    if (v := seen.get(k)) is None:
+                        seen[k] = [1, whole, whole]
                     else:
-                        v[0], v[1], v[2] = v[0] + 1, min(v[1], lo), max(v[2], hi)
-                if len(seen) > 20_000:
-                    yield line(seen)
-                    seen = {}
-        if seen:
-            yield line(seen)
+                        v[0], v[1], v[2] = v[0] + 1, min(v[1], whole), max(v[2], whole)
+            if len(trees) > 4_000 or len(seen) > 20_000:
+                yield lines(trees, seen)
+                trees, seen = {}, {}
+        if trees:
+            yield lines(trees, seen)
 
-    def line(seen):
-        columns = [*zip(*seen, strict=True), *zip(*seen.values(), strict=True)]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
+    def lines(trees, seen):
+        rows = [(host, "t", dumped(items), n, 0, 0) for (host, _), (n, items) in trees.items()] + [(*k, *v) for k, v in seen.items()]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SEEN, strict=True)], schema=SEEN)
 
-    got = pages.select("url", "html").mapInArrow(run, "host string, kind string, item string, n long, lo long, hi long")
-    return got.groupBy("host", "kind", "item").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return pages.select("url", "html").mapInArrow(run, "host string, kind string, item string, n long, lo long, hi long")
 
 
-def wrappers(seen: DataFrame) -> DataFrame:
-    """(host, pages, wrapper, template): each host's expression, and the texts, with their places, that are the template's.
+def dumped(items: list[Item]) -> str:
+    return json.dumps([x.plain() for x in items], separators=(",", ":"))
 
-    Those stand on SAME_PERCENT of the pages that have any text, which aren't all one page again. Trees come in order of their number of pages and are folded into the wrapper one at a time.
-    """
-    told = (F.col("kind") != "s") | ((F.col("n") >= SAME_PAGES) & (F.col("lo") < F.col("hi")))
-    rows = seen.filter(told).select("host", "kind", "n", "item", "lo", "hi").repartition(shuffle_partitions(seen.sparkSession), "host").sortWithinPartitions("host", F.desc("kind"), F.desc("n"), "item")
 
-    def run(batches):
-        now, whole, pages, filled, template = None, None, 0, 0, []
+def loaded(text: str) -> list[Item]:
+    return [item_of(x) for x in json.loads(text)]
 
-        def done():
-            fixed = [item for item, n in template if 100 * n >= SAME_PERCENT * filled]
-            return pa.record_batch([pa.array([x], k) for x, k in ((now, pa.string()), (pages, pa.int64()), (expression(whole or []), pa.string()), (fixed, pa.list_(pa.string())))], names=["host", "pages", "wrapper", "template"])
 
-        for batch in batches:
-            for host, kind, n, item, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if host != now:
+def folded(trees: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pages, wrapper) from rows (keys, item, n): the trees of each key folded into one, in the order of their text."""
+    spark = trees.sparkSession
+    rows = trees.select(*keys, "n", "item").repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys, "item", "n")
+    kinds = [trees.schema[k].dataType.simpleString() for k in keys]
+    out = pa.schema([*[(k, pa.string() if t == "string" else pa.int64()) for k, t in zip(keys, kinds, strict=True)], ("n", pa.int64()), ("item", pa.string())])
+
+    def run(batches):
+        now, pages, whole = None, 0, None
+        for batch in in_parts(batches):
+            for *key, n, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     if now is not None:
-                        yield done()
-                    now, whole, pages, filled, template = host, None, 0, 0, []
-                if kind == "t":
-                    own = json.loads(item)
-                    whole, pages = own if whole is None else align(whole, own), pages + n
-                elif kind == "b":
-                    filled = n
-                else:
-                    template.append((item, n))
+                        yield line(now, pages, whole)
+                    now, pages, whole = key, 0, None
+                own = loaded(item)
+                whole, pages = own if whole is None else align(whole, own), pages + n
         if now is not None:
-            yield done()
+            yield line(now, pages, whole)
 
-    return rows.mapInArrow(run, "host string, pages long, wrapper string, template array<string>")
+    def line(key, pages, whole):
+        return pa.record_batch([pa.array([x], f.type) for x, f in zip([*key, pages, dumped(whole)], out, strict=True)], schema=out)
 
+    return rows.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", n long, item string")
 
-def main_text(page: str | None, template: set[str]) -> str:
-    """The article's blocks joined by a space: those in the article where there is one, else all that aren't off, the template's or mostly links."""
-    found = blocks(page)
-    inside = [text for node, text, _ in found if node is not None and not node.off and "<main>" in node.path]
-    if inside:
-        return " ".join(inside)
-    out = []
-    for node, text, linked in found:
-        if node is not None and node.off:
-            continue
-        if (not template or slot(node, text) not in template) and 2 * linked < len(text):
-            out.append(text)
-    return " ".join(out)
+
+def wrappers(seen: DataFrame) -> DataFrame:
+    """(host, pages, wrapper, literals) from what was observed.
+
+    Trees are folded in FOLDS parts of a host, then the parts' wrappers, so that no task folds all trees of a
+    large host; the parts don't depend on the cluster. A literal (checksum and place) stands on
+    SAME_PERCENT of the host's pages that have any text, on two at least that aren't copies of each other.
+    """
+    trees = seen.filter("kind = 't'").select("host", F.pmod(F.xxhash64("item"), F.lit(FOLDS)).alias("part"), "item", "n")
+    whole = folded(folded(trees, ["host", "part"]), ["host"])
+    texts = seen.filter("kind = 's'").groupBy("host", "item").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n > 1 and lo < hi")
+    filled = seen.filter("kind = 'b'").groupBy("host").agg(F.sum("n").alias("filled"))
+    fixed = texts.join(filled, "host").filter(F.col("n") * 100 >= F.col("filled") * SAME_PERCENT).groupBy("host").agg(F.sort_array(F.collect_list("item")).alias("literals"))
+    return whole.join(fixed, "host", "left").select("host", F.col("n").alias("pages"), F.col("item").alias("wrapper"), F.coalesce("literals", F.array().cast("array<string>")).alias("literals"))
 
 
-SPREAD = 16
-"""Parts at least that a host's pages are dealt to, each with a copy of its template: as many as there are shuffle partitions."""
+def compiled(wrapper: str, literals: list[str]) -> Compiled:
+    """A host's wrapper, ready to walk."""
+    by_place: dict[str, set[int]] = {}
+    for x in literals:
+        crc, _, place = x.partition(" ")
+        by_place.setdefault(place, set()).add(int(crc))
+    return Compiled(loaded(wrapper), by_place)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
     A null or blank html gives an empty text; pages without a host share one wrapper; repeated rows are
-    extracted each; an empty table gives an empty result; other columns are ignored.
+    extracted each, and ties of an alignment go to the earlier items; an empty table gives an empty result;
+    other columns are ignored.
     """
+    spark = pages.sparkSession
+    scratch = scratch or Scratch(spark, "wrappers")
     d = pages.select("page_id", "url", "html")
-    shapes = wrappers(observed(d)).filter(F.size("template") > 0).select("host", "template")
-    parts = max(SPREAD, shuffle_partitions(pages.sparkSession))
-    shapes = shapes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    shapes = scratch.cut(wrappers(scratch.cut(observed(d), "seen")), "wrappers")
+    return applied(d, shapes)
+
+
+def applied(pages: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pages' texts by given wrappers (host, pages, wrapper, literals).
+
+    Pages meet their host's wrapper in one task, those of a large host in several: a host with more than a
+    quarter of a partition's fair share of pages is split, and only such a host's wrapper is copied.
+    """
+    spark = pages.sparkSession
+    wide = shuffle_partitions(spark)
+    total = shapes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    share = max(1, total // (4 * wide))
+    # Fewer than 4 x shuffle partitions + 1 hosts can hold more than that share each, so this may be broadcast.
+    large = shapes.filter(F.col("pages") > share).select("host", F.ceil(F.col("pages") / share).cast("long").alias("parts"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^(?:(?!://).)*://([^/?#]*)", 1))
-    d = d.withColumn("host", host).withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.lit(parts)).cast("int"))
-    both = d.join(shapes, ["host", "part"], "left").select("page_id", "url", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    deal = F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(1)))
+    d = pages.select("page_id", "url", "html", host.alias("host")).join(F.broadcast(large), "host", "left").select("host", deal.alias("part"), F.lit(1).alias("kind"), "page_id", "url", F.col("html").alias("body"), F.lit(None).cast("array<string>").alias("literals"))
+    w = shapes.join(F.broadcast(large), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    w = w.select("host", "part", F.lit(0).alias("kind"), F.lit(None).cast(kinds["page_id"]).alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("wrapper").alias("body"), "literals")
+    both = w.unionByName(d).repartition(wide, "host", "part").sortWithinPartitions("host", "part", "kind")
     names = pa.schema([("page_id", to_arrow_type(pages.schema["page_id"].dataType)), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            texts = [main_text(page, set(fixed or ())) for page, fixed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=names)
+        now, wrapper = None, None
+        for batch in in_parts(batches):
+            hosts, kind, body, literals = (batch.column(k).to_pylist() for k in (0, 2, 5, 6))
+            texts: list[str | None] = []
+            for h, k, text, fixed in zip(hosts, kind, body, literals, strict=True):
+                if k == 0:
+                    now, wrapper = h, compiled(text, fixed)
+                    texts.append(None)
+                else:
+                    texts.append(main_text(text, wrapper if h == now else None))
+            keep = pa.array([k == 1 for k in kind])
+            got = pa.record_batch([batch.column(3), batch.column(4), pa.array(texts, pa.string()), pa.array([len(t or "") for t in texts], pa.int64())], schema=names)
+            yield got.filter(keep)
 
     return both.mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattika.llm import toxicity, wrappers
 
@@ -82,7 +83,7 @@ CASES = [
 
 @pytest.mark.parametrize(("page", "text"), CASES)
 def test_main_text(page, text):
-    assert wrappers.main_text(page, set()) == text
+    assert wrappers.main_text(page) == text
 
 
 def test_wrappers(spark):
@@ -91,7 +92,7 @@ def test_wrappers(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     shape = {r["host"]: r for r in wrappers.wrappers(wrappers.observed(df)).collect()}
     assert shape["h.org"]["pages"] == 12 and "?" in shape["h.org"]["wrapper"] or "+" in shape["h.org"]["wrapper"]
-    assert shape["h.org"]["template"]
+    assert shape["h.org"]["literals"]
     got = sorted(map(tuple, wrappers.extracted(df).select("page_id", "text", "n_chars").collect()))
     assert len(got) == 15
     assert got[1][1] == "text 1 more extra 1" and got[0][1] == "text 0" and all(len(t) == n for _, t, n in got)
@@ -101,25 +102,103 @@ def test_wrappers(spark):
 
 def test_hard_pages_end():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
-    assert wrappers.main_text(deep, set()) == "x"
-    wrappers.tree(deep)
+    assert wrappers.main_text(deep) == "x"
+    assert wrappers.main_text(deep, wrappers.compiled(wrappers.dumped(wrappers.observe(deep)[0]), [])) == "x"
     mixed = "".join(f"<h{k % 6 + 1}>a</h{k % 6 + 1}>" + "<p>b</p>" * (k % 3) + "<blockquote>c</blockquote>" * (k % 5 == 0) + "<hr>" for k in range(3000))
-    one, two = wrappers.tree(mixed)[2], wrappers.tree(mixed[40:])[2]
+    one, two = wrappers.observe(mixed)[0], wrappers.observe(mixed[40:])[0]
     wrappers.align(one, two)
     spans = "<article><p>" + "<b>x</b> " * 20_000 + "</p></article>"
-    assert len(wrappers.main_text(spans, set())) == 39_999
-    assert wrappers.main_text("<article><p title=\"x>hello</p></article>", set()) == "hello"
+    assert len(wrappers.main_text(spans)) == 39_999
+    assert wrappers.main_text("<article><p title=\"x>hello</p></article>") == "hello"
 
 
 def test_repeated_groups():
-    items = wrappers.tree("<article>" + "<h2>t</h2><p>x</p><p>y</p>" * 9 + "</article>")[2]
-    assert wrappers.expression(items) == "<article><()><h2>#<p>#</p>+</()>+"
+    items = wrappers.observe("<article>" + "<h2>t</h2><p>x</p><p>y</p>" * 9 + "</article>")[0]
+    assert wrappers.expression(items) == "<article><()><h2>#+<p>#+</p>+</()>+"
 
 
 def test_alignment_makes_groups():
-    a, b = wrappers.tree("<div><p>x</p><p>y</p><h2>t</h2></div>"), wrappers.tree("<div><p>x</p><span>s</span><h3>u</h3></div>")
-    assert wrappers.expression(a[2]) == "<div><p>#</p>+<h2>#"
-    assert wrappers.expression(wrappers.align(a[2], b[2])) == "<div><p>#</p>+<h2>#</h2>?#?<h3>#</h3>?"
+    a, b = wrappers.observe("<div><p>x</p><p>y</p><h2>t</h2></div>")[0], wrappers.observe("<div><p>x</p><span>s</span><h3>u</h3></div>")[0]
+    assert wrappers.expression(a) == "<div><p>#</p>+<h2>#"
+    assert wrappers.expression(wrappers.align(a, b)) == "<div><p>#</p>+<h2>#</h2>?#?<h3>#</h3>?"
+
+
+def plain_lcs(one, two):
+    best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+    for i, x in enumerate(one):
+        for j, y in enumerate(two):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_subsequence_against_the_plain_table():
+    rng = random.Random(2)
+    for n in range(300):
+        one, two = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        got = wrappers.common(list(one), list(two), bits=1 << 29 if n % 2 else 40)
+        assert all(one[i] == two[j] for i, j in got) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+        assert len(got) == plain_lcs(one, two)
+
+
+def test_the_wrapper_decides(spark):
+    # Neutral elements only: which texts are the article's follows from the host's other pages.
+    rows = [(k, "http://h.org/x", f"<body><div><a href=1>one {k}</a> <a href=2>two</a></div><section><p>text {k}</p>{f'<p>more {k}</p>' * (k % 3)}</section><div>Imprint of h</div></body>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shapes = wrappers.wrappers(wrappers.observed(df))
+    text = lambda w: {r["page_id"]: r["text"] for r in wrappers.applied(df, w).collect()}
+    assert text(shapes)[2] == "text 2 more 2 more 2"
+    assert text(shapes.withColumn("literals", F.array().cast("array<string>")))[2] == "text 2 more 2 more 2 Imprint of h"
+    # A slot whose text is mostly links in the wrapper gives none, whatever the page's own block is like.
+    own = shapes.first().asDict()
+    items = wrappers.loaded(own["wrapper"])
+    section = items[0].kids[1]
+    assert wrappers.expression([section]) == "<section><p>#</p>+"
+    section.kids[0].kids[0].stats = (100, 100)
+    changed = spark.createDataFrame([own | {"wrapper": wrappers.dumped(items)}], shapes.schema)
+    assert text(changed)[2] == ""
+
+
+def made_page(rng, k):
+    """A page and the text that belongs to its article, put together block by block."""
+    words = lambda n: " ".join(rng.choice("ab cd ef gh ij".split()) + str(rng.randrange(999)) for _ in range(n))
+    body, text = [], []
+    for _ in range(rng.randint(1, 6)):
+        kind, w = rng.choice(["p", "h2", "li", "br", "amp", "share", "inline"]), words(rng.randint(1, 8))
+        if kind == "li":
+            body.append(f"<ul><li>{w}<li>x{k}</ul>")
+            text += [w, f"x{k}"]
+        elif kind == "br":
+            body.append(f"<p>{w}<br>\n {k}</p>")
+            text += [w, str(k)]
+        elif kind == "amp":
+            body.append(f"<p>{w} &amp;&nbsp;&#65;</p>")
+            text.append(f"{w} & A")
+        elif kind == "share":
+            body.append(f"<div class='share-box'>{w}</div>")
+        elif kind == "inline":
+            body.append(f"<p><b>{w}</b>, <i>{k}</i>")
+            text.append(f"{w}, {k}")
+        else:
+            body.append(f"<{kind}>{w}</{kind}>")
+            text.append(w)
+    off = [f"<nav><a href=/>{words(2)}</a></nav>", "<div id=cookie-notice>We use cookies</div>", f"<aside>{words(5)}</aside>", f"<form><label>{words(1)}</label></form>", "<script>var x = '<p>no</p>';</script>"]
+    rng.shuffle(off)
+    cut = rng.randint(0, len(off))
+    return f"<html><head><title>{words(3)}</title></head><body>{''.join(off[:cut])}<article>{''.join(body)}</article>{''.join(off[cut:])}<section class=comments><p>{words(4)}</p></section><footer>&copy; {words(2)}</footer></body></html>", " ".join(text)
+
+
+def test_extraction_against_pages_put_together(spark):
+    rng = random.Random(8)
+    made = [made_page(rng, k) for k in range(120)]
+    df = spark.createDataFrame([(k, f"http://h{k % 4 if k % 3 else 0}.org/{k}", page) for k, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(df).collect()}
+    assert got == {k: text for k, (_, text) in enumerate(made)}
+
+
+def test_two_pages_tell_a_literal(spark):
+    rows = [(k, "http://two.org/", f"<body><div>Welcome</div><p>own {k}</p></body>") for k in range(2)] + [(9, "http://one.org/", "<body><div>Welcome</div><p>own</p></body>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "own 0", 1: "own 1", 9: "Welcome own"}
 
 
 SCRIPTS = {
