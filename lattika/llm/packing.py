@@ -2,10 +2,11 @@
 
 N(h) counts the open windows filled to level h. A piece of s ids goes where the sum of squared counts
 grows least: into a window of level h (N(h) falls, N(h + s) rises, a full window leaves) or a new one. The
-level array has one entry per fill level. Documents longer than a window fill whole windows first. Open
-windows are bounded: when too many are open, and at the end, the emptiest give their last pieces, cut where
-needed, to the fullest, until at most one is partly filled; at the end that one is cut into sequences
-whose lengths are powers of two, which need no padding.
+level array has one entry per fill level. Documents longer than a window fill whole windows first. At a
+partition's end, what its open windows hold is merged: the emptiest give their last pieces, cut where
+needed, to the fullest, until at most one is partly filled; that one is cut into sequences whose lengths are
+powers of two, which need no padding. Open windows hold ids of their own partition only, so a task needs
+memory for at most its partition's ids (4 bytes each).
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_number
+from .common import in_parts, task_number
 from .tokens import WORD, encoder
 
-WINDOW, OPEN, END_ID = 4096, 2048, 2
-"""Ids a sequence, open windows at most, and the id behind each document."""
+WINDOW, END_ID = 4096, 2
+"""Ids a sequence, and the id behind each document."""
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -31,11 +32,10 @@ Piece = tuple  # (doc, start, ids, doc_tokens)
 class Packer:
     """Packs pieces one by one; `take` returns what is settled: (doc, start, ids, doc_tokens, sequence, offset)."""
 
-    def __init__(self, first: int = 0, window: int = WINDOW, most_open: int = OPEN):
-        self.window, self.most_open, self.next = window, most_open, first
+    def __init__(self, first: int = 0, window: int = WINDOW):
+        self.window, self.next = window, first
         self.count = np.zeros(window + 1, np.int64)  # N(h), with N(0) and N(window) held at 0
         self.open: dict[int, list[tuple[int, list[Piece]]]] = {}
-        self.n_open = 0
         self.ready: list[tuple] = []
 
     def add(self, doc, ids: np.ndarray) -> None:
@@ -62,7 +62,6 @@ class Packer:
             if not same:
                 del self.open[h]
             count[h] -= 1
-            self.n_open -= 1
         else:
             number, pieces = self.sequence(), []
         pieces.append(piece)
@@ -71,9 +70,6 @@ class Packer:
         else:
             self.open.setdefault(h + s, []).append((number, pieces))
             count[h + s] += 1
-            self.n_open += 1
-            if self.n_open > self.most_open:
-                self.settle()
 
     def sequence(self) -> int:
         self.next += 1
@@ -106,14 +102,14 @@ class Packer:
             fill[low] -= len(moved)
             if fill[low] == 0:
                 low += 1
-        self.count[:], self.n_open = 0, 0
+        self.count[:] = 0
         self.open.clear()
         if windows:
             h, number, pieces = fill[high], *windows[high][1:]
             if h == self.window:
                 self.close(number, pieces)
             elif h:
-                self.open[h], self.count[h], self.n_open = [(number, pieces)], 1, 1
+                self.open[h], self.count[h] = [(number, pieces)], 1
 
     def finish(self) -> None:
         """Settles all; the last partly filled window becomes sequences of power-of-two lengths."""
@@ -133,7 +129,7 @@ class Packer:
                 self.close(number, own)
                 number = self.sequence() if level & ((1 << bit) - 1) else number
         self.open.clear()
-        self.count[:], self.n_open = 0, 0
+        self.count[:] = 0
 
     def take(self) -> list[tuple]:
         out, self.ready = self.ready, []
@@ -146,23 +142,23 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, most_open: int = OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     Each partition packs its rows in their order, without a shuffle; a sequence's id holds the partition's
-    number above its own. A null or empty text is the end id alone; repeated rows are packed each; a null
-    key stays null; an empty table gives no piece.
+    number above its own. A null or empty text is the end id alone; a long text fills whole windows first;
+    repeated rows are packed each; of windows whose level costs the same the fullest is taken; a null key stays
+    null; an empty table gives no piece; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, end = encoder(tokenizer, WORD), Packer(task_number() << 33, window, most_open), np.array([END_ID], np.uint32)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                keys, texts = (c.to_pylist() for c in batch.slice(a, 256).columns)
-                for k, ids in zip(keys, enc.encode([t or "" for t in texts]), strict=True):
-                    packer.add(k, np.concatenate([ids, end]))
-                if packer.ready:
-                    yield batch_of(packer.take())
+        enc, packer, end = encoder(tokenizer, WORD), Packer(task_number() << 33, window), np.array([END_ID], np.uint32)
+        for part in in_parts(batches):
+            keys, texts = (c.to_pylist() for c in part.columns)
+            for k, ids in zip(keys, enc.encode([t or "" for t in texts]), strict=True):
+                packer.add(k, np.concatenate([ids, end]))
+            if packer.ready:
+                yield batch_of(packer.take())
         packer.finish()
         yield batch_of(packer.take())
 
