@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_parts
+
 # Fixed values of the format (RFC 8794, RFC 9559).
 EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION, VOID, CRC_32 = 0x4282, 0x4287, 0x4285, 0xEC, 0xBF
@@ -32,6 +34,7 @@ NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 RATE, FRAME, LACED, BLOCKS = 8000, 512, 8, 8
 """Production parameters: samples a second, bytes a frame, frames a block, blocks a cluster."""
 
+LONG = 1 << 63
 PACKET_SCHEMA = "track long, timestamp_ns long, offset long, size long, keyframe boolean, lacing int, cluster long"
 
 
@@ -291,6 +294,9 @@ class Media:
         sizes, at = laced_sizes(buf, at + 3, b, kind)
         step = self.tracks.get(track, {}).get("default_duration", 0) or length * self.scale // max(1, len(sizes))
         keyframe = bool(flags & 0x80) if key is None else key
+        last = time + step * (len(sizes) - 1)
+        if not (-LONG <= time < LONG and -LONG <= last < LONG and track < LONG):
+            raise Malformed("a packet's time or track needs more than 64 bits")
         for k, size in enumerate(sizes):
             self.packets.append((track, time + k * step, at, size, keyframe, kind, self.clusters))
             at += size
@@ -319,12 +325,13 @@ def feature_of(media: Media, samples: bytes) -> str:
 def packets(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """The packet table of a binary column: a row per packet with key, track, timestamp, byte range, keyframe, lacing, cluster and error.
 
-    A null or malformed file gives one row with the reason in `error` and nulls elsewhere; repeated rows
-    give repeated packets; other columns of df are ignored, so their names may clash with these.
+    A null or malformed file, and one with a time or track beyond signed 64-bit numbers, gives one row with the
+    reason in `error` and nulls elsewhere; repeated rows give repeated packets; packets at the same time stay in
+    stored order; an empty table gives no row; other columns of df are ignored, so their names may clash with these.
     """
 
     def parse(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: list[tuple] = []
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
@@ -346,10 +353,14 @@ MEDIA_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("med
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the Matroska file of each whole text; a null text counts as empty, repeated rows stay."""
+    """doc_id, n_bytes and the Matroska file of each whole text.
+
+    A null text counts as empty; repeated rows stay; a long text is one file of as many clusters as it takes;
+    an empty table gives an empty result; other columns are ignored.
+    """
 
     def write(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_samples(pad(x)) for x in raw], pa.binary())], schema=MEDIA_SCHEMA)
 
@@ -357,13 +368,13 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def digest(stored: DataFrame) -> DataFrame:
-    """What the stored files hold when they are read back: sizes, hashes and the feature string."""
+    """What the stored files hold when they are read back: sizes, hashes and the feature string; one row for each file."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     out = pa.schema(list(zip(names, kinds, strict=True)))
 
     def read(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 media = Media(raw)

@@ -57,3 +57,22 @@ def test_query_rows(spark):
     table = m.packets(m.store(docs).unionByName(spark.createDataFrame([(9, 0, None)], "doc_id long, n_bytes long, media binary")), "doc_id")
     assert table.filter("key = 9").first()["error"] is not None
     assert table.filter("key = 3").agg({"size": "sum"}).first()[0] == 64
+
+
+def test_numbers_beyond_64_bits_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    raw = bytearray(m.store(docs).first()["media"])
+    # The first cluster's timestamp, padded to eight bytes of ones.
+    at = raw.index(bytes.fromhex("1f43b675"))
+    assert m.Media(bytes(raw)).packets
+    stamp = raw.index(0xE7, at)
+    size = raw[stamp + 1] & 0x7F
+    big = bytes([0xE7, 0x88]) + b"\xff" * 8
+    head = raw[: at + 4] + bytes([0x01]) + b"\xff" * 7  # a cluster of unknown size takes the longer stamp
+    width = 9 - raw[at + 4].bit_length()
+    bad = head + big + raw[stamp + 2 + size :] if stamp == at + 4 + width else None
+    assert bad is not None
+    files = spark.createDataFrame([(1, bytes(raw)), (2, bytes(bad))], "doc_id long, media binary")
+    got = m.packets(files, "doc_id").collect()
+    assert [r["error"] for r in got if r["key"] == 1] == [None] * len([r for r in got if r["key"] == 1])
+    assert [r["error"] is not None for r in got if r["key"] == 2] == [True]
