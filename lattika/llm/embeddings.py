@@ -2,7 +2,8 @@
 
 Vectors with equal labels are compared. Equal vectors fall together first, with their number. The rest is
 rotated to principal axes, sorted by the leading coordinate and cut into tiles; tiles whose leading
-coordinates lie too far apart for the threshold never meet. In a pair of tiles, dot products grow by a few
+coordinates lie too far apart for the threshold never meet. Tiles travel in groups of a few megabytes, so that
+each is copied once per group that it meets, not per tile. In a pair of tiles, dot products grow by a few
 leading dimensions at a time; what is left is bounded by the product of the suffix norms, and pairs that
 can't reach the threshold any more are dropped. Those that remain are decided on the given vectors in
 double precision. Link counts and a spanning part of the links leave a tile pair, never all links.
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, task_number
+from .common import Scratch, in_parts, least_hashes, shuffle_partitions, task_number
 from .components import Union, components
 
 COSINE, TILE, STEP, SAMPLE = 0.93, 1024, 16, 8192
 """Threshold, vectors a tile, dimensions a step, and vectors that the axes are fitted on at most (about)."""
 SLACK = 1e-9
+GROUP_BYTES = 1 << 22
+"""Bytes of vectors in a group of tiles: two groups are in a task's memory at once."""
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def prepared(rows: DataFrame) -> DataFrame:
     names = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dim", pa.int64()), ("key", pa.binary()), ("vec", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1024):
             keys, vecs, dims = [], [], []
             for label, values in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = np.array([], np.float64)
@@ -52,7 +55,7 @@ def axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     Any orthogonal basis gives right results; a dimension without one here keeps its own axes.
     """
     n = vectors.count()
-    part = vectors if n <= sample else vectors.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    part = vectors if n <= sample else vectors.filter(F.xxhash64("key") <= F.lit(least_hashes(sample / n)))
     out: dict[int, list[np.ndarray]] = {}
     for r in part.select("dim", "vec").limit(2 * sample).toLocalIterator():
         if len(out) < 16 or r["dim"] in out:
@@ -107,16 +110,23 @@ def tiles(classes: DataFrame, basis: dict[int, np.ndarray], size: int = TILE) ->
     return led.mapInArrow(cut, TILE_SCHEMA)
 
 
-def meetings(all_tiles: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Pairs of tiles (a <= b) whose leading coordinates allow the cosine: unit vectors at that cosine lie within sqrt(2 - 2 cosine)."""
+def in_groups(all_tiles: DataFrame, size: int = TILE, room: int = GROUP_BYTES) -> DataFrame:
+    """The tiles with the group that each travels in: neighbours of one partition, as many as fit the room."""
+    each = F.greatest(F.lit(1), F.floor(F.lit(room) / (F.lit(8 * size) * F.col("dim"))))
+    part = F.shiftright("tile", 24)
+    return all_tiles.withColumn("group", F.shiftleft(part, 24) + F.floor((F.col("tile") - F.shiftleft(part, 24)) / each))
+
+
+def meetings(grouped: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Pairs of groups (label, dim, a <= b) whose leading coordinates allow the cosine: unit vectors at that cosine lie within sqrt(2 - 2 cosine)."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     width = max(reach, 1e-3)
-    m = all_tiles.select("tile", "label", "dim", "lo", "hi")
+    m = grouped.groupBy("label", "dim", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     own = m.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     near = m.withColumn("cell", F.explode(F.sequence(F.floor((F.col("lo") - reach) / width), F.floor((F.col("hi") + reach) / width))))
-    one, two = own.select("label", "dim", "cell", F.col("tile").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), near.select("label", "dim", "cell", F.col("tile").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    one, two = own.select("label", "dim", "cell", F.col("group").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), near.select("label", "dim", "cell", F.col("group").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     met = one.join(two, ["label", "dim", "cell"]).filter((F.col("la") <= F.col("hb") + reach) & (F.col("lb") <= F.col("ha") + reach))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select("label", "dim", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def reaching(x: np.ndarray, y: np.ndarray, turn: np.ndarray | None, cosine: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -150,40 +160,55 @@ def reaching(x: np.ndarray, y: np.ndarray, turn: np.ndarray | None, cosine: floa
     return i[good], j[good]
 
 
-def compared(all_tiles: DataFrame, pairs: DataFrame, basis: dict[int, np.ndarray], cosine: float = COSINE) -> DataFrame:
+def compared(grouped: DataFrame, pairs: DataFrame, basis: dict[int, np.ndarray], cosine: float = COSINE) -> DataFrame:
     """Per pair of tiles: (key, n) for the rows linked to each class, and (a, b) links that join what all links join."""
     names = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
+
+    def met(one, two, dim: int) -> pa.RecordBatch:
+        a, _, _, ids_a, n_a, keys_a, vec_a = one
+        b, _, _, ids_b, n_b, keys_b, vec_b = two
+        x, y = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (vec_a, vec_b))
+        ids, counts = (np.frombuffer(u + (v if a != b else b""), np.int64) for u, v in ((ids_a, ids_b), (n_a, n_b)))
+        keys = keys_a + (keys_b if a != b else b"")
+        i, j = reaching(x, y, basis.get(dim), cosine)
+        if a == b:
+            up = i < j
+            i, j = i[up], j[up]
+        else:
+            j = j + len(x)
+        linked = np.zeros(len(ids), np.int64)
+        np.add.at(linked, i, counts[j])
+        np.add.at(linked, j, counts[i])
+        union, out = Union(), []
+        for u, v in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
+            if union.join(u, v):
+                out.append((u, v))
+        some = np.flatnonzero(linked).tolist()
+        columns = [[keys[16 * k : 16 * k + 16] for k in some] + [None] * len(out), linked[some].tolist() + [0] * len(out), [None] * len(some) + [o[0] for o in out], [None] * len(some) + [o[1] for o in out]]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
 
     def run(batches):
+        now, first = None, []
         for batch in batches:
-            for a, b, dim, ids_a, n_a, keys_a, vec_a, ids_b, n_b, keys_b, vec_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (vec_a, vec_b))
-                ids, counts = (np.frombuffer(u + (v if a != b else b""), np.int64) for u, v in ((ids_a, ids_b), (n_a, n_b)))
-                keys = keys_a + (keys_b if a != b else b"")
-                i, j = reaching(x, y, basis.get(dim), cosine)
-                if a == b:
-                    up = i < j
-                    i, j = i[up], j[up]
-                else:
-                    j = j + len(x)
-                linked = np.zeros(len(ids), np.int64)
-                np.add.at(linked, i, counts[j])
-                np.add.at(linked, j, counts[i])
-                union, out = Union(), []
-                for u, v in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                    if union.join(u, v):
-                        out.append((u, v))
-                some = np.flatnonzero(linked).tolist()
-                columns = [[keys[16 * k : 16 * k + 16] for k in some] + [None] * len(out), linked[some].tolist() + [0] * len(out), [None] * len(some) + [o[0] for o in out], [None] * len(some) + [o[1] for o in out]]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, names, strict=True)], schema=names)
-
-    side = lambda s: all_tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "keys", "vecs")], *(["dim"] if s == "a" else []))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", "dim", "ids_a", "counts_a", "keys_a", "vecs_a", "ids_b", "counts_b", "keys_b", "vecs_b")
-    return both.mapInArrow(run, "key binary, n long, a long, b long")
-
-
-def classes(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", scratch: Scratch | None = None, tile: int = TILE) -> DataFrame:
+            for k in range(batch.num_rows):
+                label, dim, a, b, group, *tile = (c[k].as_py() for c in batch.columns)
+                if (label, dim, a, b) != now:
+                    now, first = (label, dim, a, b), []
+                # Tiles of the first group come first and stay; those of the second pass by them one at a time.
+                if group == a:
+                    first.append(tile)
+                for other in first if a != b and group == b or a == b else []:
+                    if other[1] <= tile[2] + reach and tile[1] <= other[2] + reach:
+                        yield met(other, tile, dim)
+
+    copies = pairs.select("label", "dim", F.col("a").alias("group"), "a", "b").unionByName(pairs.filter("a <> b").select("label", "dim", F.col("b").alias("group"), "a", "b"))
+    rows = grouped.join(copies, ["label", "dim", "group"]).select("label", "dim", "a", "b", "group", "tile", "lo", "hi", "ids", "counts", "keys", "vecs")
+    rows = rows.repartition(shuffle_partitions(grouped.sparkSession), "label", "dim", "a", "b").sortWithinPartitions("label", "dim", "a", "b", "group", "tile")
+    return rows.mapInArrow(run, "key binary, n long, a long, b long")
+
+
+def classes(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label", scratch: Scratch | None = None, tile: int = TILE, room: int = GROUP_BYTES) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Rows without label, and vectors that are null, empty, zero or hold null or non-finite components, link
@@ -193,10 +218,12 @@ def classes(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id", vec
     scratch = scratch or Scratch(vectors.sparkSession, "vectors")
     rows = scratch.cut(prepared(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))), "rows")
     own = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
-    # A class of rows without vec_id still counts; its id can't be met by another's.
-    own = scratch.cut(own.withColumn("id", F.coalesce("id", -1 - F.abs(F.xxhash64("key")))), "classes")
+    own = scratch.cut(own, "classes")
+    # A class of rows without vec_id still counts and links; its number lies above all ids, so it is no component's least.
+    most = max(0, own.agg(F.max("id")).first()[0] or 0)
+    own = own.withColumn("id", F.coalesce("id", F.lit(most) + 1 + F.pmod(F.xxhash64("key"), F.lit((1 << 63) - 2 - most))))
     basis = axes(own)
-    tiled = scratch.cut(tiles(own, basis, tile), "tiles")
+    tiled = in_groups(scratch.cut(tiles(own, basis, tile), "tiles"), tile, room)
     found = scratch.cut(compared(tiled, meetings(tiled, cosine), basis, cosine), "links")
     counts = found.filter("key is not null").groupBy("key").agg(F.sum("n").alias("linked"))
     joined = components(found.filter("key is null").select("a", "b"), scratch)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, least_hashes
 
 #: (rule, verdict): a rule is host/path; it fits the host and its subdomains if the path starts as it does.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -106,7 +106,7 @@ def train(labelled: DataFrame, label: str, scratch: Scratch, sample: int = SAMPL
     """
     names = [c for c in labelled.columns if c.startswith("f_")]
     n = labelled.count()
-    part = labelled if n <= sample else labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    part = labelled if n <= sample else labelled.filter(F.xxhash64("url") <= F.lit(least_hashes(sample / n)))
     rows = part.groupBy(*names, "suffix").agg(F.sum(label).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
     rows = scratch.cut(rows, "url-sample")
     pos, total = rows.agg(F.coalesce(F.sum("pos"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()

@@ -99,8 +99,8 @@ def test_components_of_hard_graphs(spark, alone):
     assert components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("tile", [16, 1024])
-def test_vectors_equal_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "room"), [(16, 1), (16, 1 << 14), (1024, 1 << 22)])
+def test_vectors_equal_brute_force(spark, tile, room):
     rng = np.random.default_rng(2)
     rows = []
     for k in range(300):
@@ -109,7 +109,7 @@ def test_vectors_equal_brute_force(spark, tile):
         rows.append((k, np.float32(v).tolist(), int(k % 2 == 0 or k % 5 == 0)))
     rows += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] * 24, 1), (303, rows[4][1], None), (304, [None] + [1.0] * 23, 1), (305, [1.0, 2.0], 1), (306, [2.0, 4.0], 1), (307, [], 1), (308, [float("inf")] * 24, 1), (309, [5 * x for x in rows[4][1]], rows[4][2])]
     df = spark.createDataFrame([(*r, "x", 2) for r in rows], "vec_id long, embedding array<float>, label int, key string, n int")
-    got = {r["vec_id"]: tuple(r)[1:] for r in embeddings.classes(df, tile=tile).collect()}
+    got = {r["vec_id"]: tuple(r)[1:] for r in embeddings.classes(df, tile=tile, room=room).collect()}
     links, n = [], defaultdict(int)
     good = [r for r in rows if r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     for i, (a, x, p) in enumerate(good):
@@ -143,3 +143,11 @@ def test_threshold_80_finds_what_85_leaves(spark):
     assert lshforest.deduplicated(docs).count() == 300
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == list(range(0, 300, 2))
     assert lshforest.shape(85) == (16, 4, 40) and lshforest.shape(80) == (17, 3, 35)
+
+
+def test_vectors_without_id_join_but_name_nothing(spark):
+    rows = [(5, "a", [1.0, 0.0]), (None, "a", [1.0, 0.01]), (None, "b", [1.0, 0.0]), (None, "b", [1.0, 0.02]), (9, "c", [1.0, 0.0]), (None, "c", [1.0, 0.35]), (7, "c", [1.0, 0.75])]
+    got = sorted(map(tuple, embeddings.classes(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()), key=str)
+    named = {r[0]: r[1:] for r in got if r[0] is not None}
+    assert named == {5: (1, 5, True), 9: (1, 7, False), 7: (1, 7, True)}  # 9 and 7 are joined by the vector without an id
+    assert [r for r in got if r[0] is None] == [(None, 1, None, True)] * 3 + [(None, 2, None, True)]
