@@ -17,8 +17,8 @@ from .common import Scratch, least_hashes
 
 #: (rule, verdict): a rule is host/path; it fits the host and its subdomains if the path starts as it does.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-SAMPLE, BINS, TREES, DEPTH, RATE, L2, SUFFIXES = 20_000, 12, 6, 3, 0.5, 1.0, 64
-"""Training bound in rows, bins a feature, trees, their depth, shrinkage, leaf penalty, suffixes with a statistic of their own."""
+SAMPLE, BINS, TREES, DEPTH, RATE, L2 = 20_000, 12, 6, 3, 0.5, 1.0
+"""Training bound in rows, bins a feature, trees, their depth, shrinkage, leaf penalty."""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,16 +68,20 @@ def features(df: DataFrame, url: str, host: str, path: str) -> DataFrame:
 
 
 class Boosted:
-    """Trees over named numeric columns: lists of (feature, threshold, left, right) and leaf values. x <= threshold goes left."""
+    """Trees over named numeric columns: lists of (feature, threshold, left, right) and leaf values. x <= threshold goes left.
 
-    def __init__(self, base: float, trees: list, suffixes: dict[str, float], rest: float):
+    suffixes: (suffix, f_suffix), each suffix's smoothed share of label 1; rest: that of suffixes not seen.
+    """
+
+    def __init__(self, base: float, trees: list, suffixes: DataFrame | None, rest: float):
         self.base, self.trees, self.suffixes, self.rest = base, trees, suffixes, rest
 
-    def suffix_column(self, suffix: Column) -> Column:
-        if not self.suffixes:
-            return F.lit(float(self.rest))
-        table = F.create_map(*[F.lit(x) for k, v in self.suffixes.items() for x in (k, float(v))])
-        return F.coalesce(F.try_element_at(table, suffix), F.lit(float(self.rest)))
+    def with_suffix(self, rows: DataFrame) -> DataFrame:
+        """rows with f_suffix by their suffix."""
+        if self.suffixes is None:
+            return rows.withColumn("f_suffix", F.lit(float(self.rest)))
+        # One line per suffix of the training sample: no more than SAMPLE rows, about.
+        return rows.join(F.broadcast(self.suffixes), "suffix", "left").fillna(float(self.rest), ["f_suffix"])
 
     def margin(self) -> Column:
         return reduce(lambda a, t: a + tree_column(t), self.trees, F.lit(float(self.base)))
@@ -113,11 +117,11 @@ def train(labelled: DataFrame, label: str, scratch: Scratch, sample: int = SAMPL
     rate = (pos + 0.5) / (total + 1)
     base = math.log(rate / (1 - rate))
     if not 0 < pos < total:
-        return Boosted(base, [], {}, rate)
-    top = rows.groupBy("suffix").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    model = Boosted(base, [], {r["suffix"]: (r["p"] + 2 * rate) / (r["n"] + 2) for r in top}, rate)
+        return Boosted(base, [], None, rate)
+    shares = rows.groupBy("suffix").agg(((F.sum("pos") + 2 * rate) / (F.sum("n") + 2)).alias("f_suffix"))
+    model = Boosted(base, [], scratch.cut(shares, "url-suffixes"), rate)
     names = [*names, "f_suffix"]
-    rows = rows.withColumn("f_suffix", model.suffix_column(F.col("suffix")))
+    rows = model.with_suffix(rows)
     cuts = rows.agg(*[F.percentile_approx(c, [k / BINS for k in range(1, BINS)], 1000).alias(c) for c in names]).first()
     edges = {c: sorted(set(cuts[c] or [])) for c in names}
     binned = [reduce(lambda a, e, c=c: a + (F.col(c) > F.lit(float(e))).cast("int"), edges[c], F.lit(0)).alias(c) for c in names]
@@ -187,8 +191,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, scratch:
     """page_id, host, path, rule, verdict and score (P(block) by the trees) of every row.
 
     The labelled urls are those that a rule decides. Null urls have an empty host and path and get the
-    trees' verdict; repeated rows are judged alike; an empty table gives an empty result; other columns
-    are ignored.
+    trees' verdict, as do very long ones, whole; of rules of one length none fits twice; repeated rows are judged
+    alike; an empty table gives an empty result; other columns are ignored.
     """
     rules = RULES if rules is None else rules
     scratch = scratch or Scratch(pages.sparkSession, "urls")
@@ -198,6 +202,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, scratch:
     df = features(df, "url", "host", "path")
     labelled = df.filter(F.col("hit.rule").isNotNull()).withColumn("label", (F.col("hit.verdict") == "block").cast("int"))
     model = train(labelled, "label", scratch)
-    scored = df.withColumn("f_suffix", model.suffix_column(F.col("suffix"))).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    scored = model.with_suffix(df).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.round("score", 9).alias("score"))

@@ -115,7 +115,7 @@ def test_trees_learn(spark):
     from lattika.llm.common import Scratch
 
     model = urls.train(f.filter("page_id % 5 <> 0"), "label", Scratch(spark, "t"))
-    held = f.filter("page_id % 5 = 0").withColumn("f_suffix", model.suffix_column(F.col("suffix"))).select("label", (model.margin() > 0).cast("int").alias("p"))
+    held = model.with_suffix(f.filter("page_id % 5 = 0")).select("label", (model.margin() > 0).cast("int").alias("p"))
     assert held.filter("label = p").count() == held.count()
 
 
@@ -149,3 +149,67 @@ def test_many_sources_stay_bounded_by_blocks():
     blocks = {f"s{k}": 1 + k % 2 for k in range(400)}
     assert len(mixing.plan_rows(mixing.own_weights(blocks), blocks)) == sum(blocks.values())
     assert mixing.own_weights([]) == {}
+
+
+def plain_tree(rows, names, edges, depth):
+    """The best splits by trying each feature and bin on the rows themselves: (feature, bin, left, right) or a leaf's value."""
+    g, h = sum(r["g"] for r in rows), sum(r["h"] for r in rows)
+    best = None
+    for c in names if depth else []:
+        for b in range(len(edges[c])):
+            left, right = [r for r in rows if r[c] <= b], [r for r in rows if r[c] > b]
+            lg, lh, rg, rh = sum(r["g"] for r in left), sum(r["h"] for r in left), sum(r["g"] for r in right), sum(r["h"] for r in right)
+            if min(lh, rh) >= 0.5:
+                gain = lg**2 / (lh + urls.L2) + rg**2 / (rh + urls.L2) - g**2 / (h + urls.L2)
+                if gain > (best[0] + 1e-9 if best else 1e-6):
+                    best = (gain, c, b, left, right)
+    if best is None:
+        return round(-urls.RATE * g / (h + urls.L2), 9)
+    return (best[1], best[2], plain_tree(best[3], names, edges, depth - 1), plain_tree(best[4], names, edges, depth - 1))
+
+
+def rounded(tree):
+    return (*tree[:2], rounded(tree[2]), rounded(tree[3])) if isinstance(tree, tuple) else round(tree, 9)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names, edges = ["f_a", "f_b", "f_c"], {"f_a": [1, 2, 3], "f_b": [1], "f_c": [1, 2, 3, 4, 5]}
+    rows = []
+    for _ in range(120):
+        r = {c: rng.randint(0, len(edges[c])) for c in names}
+        q = rng.uniform(0.1, 0.9)
+        y = int(r["f_a"] > 1) ^ int(r["f_c"] > 2 and r["f_b"] == 0) if rng.random() < 0.9 else rng.randint(0, 1)
+        rows.append(r | {"g": q - y, "h": q * (1 - q)})
+    grown = urls.grow(spark.createDataFrame(rows, "f_a int, f_b int, f_c int, g double, h double"), names, edges, 3)
+    assert rounded(grown) == plain_tree(rows, names, edges, 3)
+
+
+def test_rules_against_sql(spark, sf):
+    import duckdb
+
+    from lattika.llm.common import read_table
+
+    fits = lambda rule: "((host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '/{1}'))".format(*rule.split("/", 1))
+    by_length = sorted((r for r, _ in urls.RULES), key=len, reverse=True)
+    case = " ".join(f"when {fits(r)} then '{r}'" for r in by_length)
+    c = duckdb.connect()
+    want = c.sql(f"""
+        with u as (select page_id, coalesce(url, '') as u from '{sf}/pages.parquet'),
+        s as (select page_id, case when contains(u, '://') then substr(u, strpos(u, '://') + 3) else '' end as r from u),
+        h as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from s)
+        select page_id, host, path, case {case} end as rule from h""").fetchall()
+    got = urls.judge(read_table(spark, sf, "pages")).select("page_id", "host", "path", "rule").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_rows_without_conversation_stand_alone(spark):
+    import duckdb
+
+    rows = [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 1, "user", "lost"), (None, None, None, None), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((tuple(r) for r in chat.collapse(df).collect()), key=str)
+    assert [(r[0], r[1], r[2]) for r in got] == [(3, 2, 1), (4, 1, 2), (None, 1, 1)]
+    conversations = df.toPandas()  # noqa: F841
+    assert got == sorted(duckdb.sql(chat.ORACLE_SQL).fetchall(), key=str)
