@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, task_number
+from .common import Scratch, in_parts, shuffle_partitions, task_number
 from .tokens import BYTE, encoder
 
 MAGIC, HEAD, BLOCK = b"LDAC0001", 4, 512
@@ -151,11 +151,12 @@ def put(fs: pafs.FileSystem, path: str, body: bytes) -> None:
     fs.move(hidden, path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> list[tuple[str, int, int]]:
-    """Writes the ids of every whole text in ascending order of the key; returns (path, documents, ids) of each file in order.
+def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the ids of every whole text in ascending order of the key; returns (part, number, path, n_docs, n_ids) of each file.
 
-    A null text counts as empty; a null key comes first; repeated rows are written each. What comes back is
-    a line per file, not per document. An empty table writes no file.
+    A null text counts as empty; a null key comes first; a long text may fill a file of its own; repeated rows are
+    written each, in the order of their texts' hashes; other columns are ignored. The list of files is a table
+    beside them, written by the tasks: the driver doesn't see it. An empty table writes no file.
     """
 
     def shard(batches):
@@ -177,31 +178,37 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
             return line
 
         filled = 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                piece = batch.slice(a, 256)
-                keys_now, texts = (c.to_pylist() for c in piece.columns)
-                for k, x in zip(keys_now, enc.encode([t or "" for t in texts]), strict=True):
-                    if keys and filled + len(x) + 1 > file_ids:
-                        yield flush()
-                        filled = 0
-                    keys.append(k)
-                    ids.append(np.concatenate([x, end]))
-                    filled += len(x) + 1
+        for piece in in_parts(batches):
+            keys_now, texts = (c.to_pylist() for c in piece.columns)
+            for k, x in zip(keys_now, enc.encode([t or "" for t in texts]), strict=True):
+                if keys and filled + len(x) + 1 > file_ids:
+                    yield flush()
+                    filled = 0
+                keys.append(k)
+                ids.append(np.concatenate([x, end]))
+                filled += len(x) + 1
         if keys:
             yield flush()
 
     spark = docs.sparkSession
     d = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).withColumn("h", F.xxhash64("t"))
     d = d.repartitionByRange(shuffle_partitions(spark), "k", "h").sortWithinPartitions("k", "h").select("k", "t")
-    lines = d.mapInArrow(shard, "part long, number long, path string, n_docs long, n_ids long").collect()
-    return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(lines)]
+    lines = d.mapInArrow(shard, "part long, number long, path string, n_docs long, n_ids long")
+    lines.write.parquet(f"{folder}/_files")
+    return spark.read.schema(lines.schema).parquet(f"{folder}/_files")
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """(path, start): each file's first id's number. Parts are summed first; a window runs over parts, one line each, and one over each part's files."""
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # One line per writing task: as many as shuffle partitions, so it may be broadcast.
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("inside", inside).join(F.broadcast(before), "part").select("path", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def read(spark: SparkSession, folder: str, files: list[tuple[str, int, int]], span: int = 1 << 20) -> DataFrame:
+def read(folder: str, files: DataFrame, span: int = 1 << 20) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files; about `span` ids are in memory at once."""
-    starts = np.concatenate([[0], np.cumsum([n for _, _, n in files])]).astype(np.int64) if files else np.zeros(1, np.int64)
-    paths = [p for p, _, _ in files]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def one(fs, path: str, start: int):
@@ -219,14 +226,16 @@ def read(spark: SparkSession, folder: str, files: list[tuple[str, int, int]], sp
     def scan(batches):
         fs, _ = store_of(folder)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                yield from one(fs, paths[k], int(starts[k]))
+            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from one(fs, path, start)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Files are about equally large, so tasks get as many each.
+    dealt = placed(files).repartition(shuffle_partitions(files.sparkSession), "path")
+    return dealt.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, scratch: Scratch | None = None) -> DataFrame:
     """Writes the table's token files below the shared folder and reads them back."""
     scratch = scratch or Scratch(docs.sparkSession, "dac")
     folder = scratch.path("tokens")
-    return read(docs.sparkSession, folder, write(docs, folder, tokenizer))
+    return read(folder, write(docs, folder, tokenizer))
