@@ -1,28 +1,39 @@
 """The cube engine: immutable segments of cuboid states, merged when they are read.
 
 Layout: `<root>/<cube>/cuboid=<id>/segment=<id>/*.parquet`, each cuboid with its own columns, files sorted in
-the canonical dimension order. A JSON manifest per cube lists cuboids, segments and row counts; data is
-written before the manifest is replaced atomically, and readers follow the manifest only.
+the canonical dimension order. Numbered JSON manifests per cube list cuboids, segments and row counts. Data is
+written before the manifest that names it, readers follow the latest manifest only, and a manifest's number is
+taken by one writer alone: who comes second reads the new one and applies his change to it. Segment ids are
+taken that way before data is written, so writers never share a folder.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from .operators import cube as build
 from .operators import states
 from .plans import timeplan
-from .plans.spec import LEVELS, CubeSpec, CuboidPhase, SegmentPhase, SegmentType, TaskPhase, cuboid_name, level, merge_bounds, parent, parents
+from .plans.spec import LEVELS, CubeSpec, CuboidPhase, SegmentPhase, SegmentType, TaskPhase, cuboid_name, level, merge_bounds, parent
 from .sources import facts as fact_streams
 from .sources import files
 
 
+KEPT, TRIES = 10, 50
+"""Manifests that stay, and attempts of a writer to add the next one."""
+
+
+class EmptyBatch(ValueError):
+    """A batch without facts, or whose facts cancel each other."""
+
+
 @dataclass
 class Cuboid:
     id: int
@@ -72,31 +83,60 @@ class CubeEngine:
 
     # ---- metadata
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}/manifest.json"
+    def _manifests(self, name: str) -> list[int]:
+        found = [n for n in files.listing(self.spark, f"{self.root}/{name}") if n.startswith("manifest-") and n.endswith(".json")]
+        return sorted(int(n[9:-5]) for n in found)
+
+    def _path(self, name: str, number: int) -> str:
+        return f"{self.root}/{name}/manifest-{number:012d}.json"
 
     def _load(self, name: str) -> tuple[list[Cuboid], list[Segment], dict]:
-        if not files.exists(self.spark, self._path(name)):
+        """Cuboids, segments and the rest of the latest manifest; its number is `version`."""
+        numbers = self._manifests(name)
+        if not numbers:
             raise KeyError(f"no cube {name}")
-        got = json.loads(files.read_text(self.spark, self._path(name)))
-        return [Cuboid(c["id"], tuple(c["dims"]), c["phase"]) for c in got["cuboids"]], [Segment(**s) for s in got["segments"]], got
+        got = json.loads(files.read_text(self.spark, self._path(name, numbers[-1])))
+        return [Cuboid(c["id"], tuple(c["dims"]), c["phase"]) for c in got["cuboids"]], [Segment(**s) for s in got["segments"]], got | {"version": numbers[-1]}
 
-    def _save(self, name: str, cuboids: list[Cuboid], segments: list[Segment], more: dict) -> None:
-        body = {k: v for k, v in more.items() if k not in ("cuboids", "segments")}
+    def _save(self, name: str, cuboids: list[Cuboid], segments: list[Segment], more: dict) -> bool:
+        """Writes the manifest after `version`, unless another writer has; the last few stay for readers that follow them."""
+        body = {k: v for k, v in more.items() if k not in ("cuboids", "segments", "version")}
         body |= {"cuboids": [{"id": c.id, "dims": list(c.dims), "phase": c.phase} for c in cuboids], "segments": [s.__dict__ for s in segments]}
-        files.replace_text(self.spark, self._path(name), json.dumps(body))
+        number = more.get("version", 0) + 1
+        if not files.create_text(self.spark, self._path(name, number), json.dumps(body)):
+            return False
+        for old in self._manifests(name):
+            if old <= number - KEPT:
+                files.delete(self.spark, self._path(name, old))
+        return True
+
+    def _change(self, name: str, change: Callable):
+        """Applies change(cuboids, segments, more) to the latest manifest until it is this writer's turn; returns what it returns."""
+        for _ in range(TRIES):
+            cuboids, segments, more = self._load(name)
+            out = change(cuboids, segments, more)
+            if self._save(name, cuboids, segments, more):
+                return out
+        raise RuntimeError(f"other writers kept changing {name}")
+
+    def _reserve(self, name: str) -> int:
+        """A segment id that no other writer gets."""
+
+        def change(cuboids, segments, more):
+            more["next_segment"] += 1
+            return more["next_segment"] - 1
+
+        return self._change(name, change)
 
     def create(self, spec: CubeSpec, kinds: dict[str, str] | None = None) -> list[Cuboid]:
         """Registers a cube with its lattice; kinds: Spark types of dimensions that aren't strings."""
-        if files.exists(self.spark, self._path(spec.name)):
-            raise ValueError(f"cube {spec.name} is there")
         cuboids = [Cuboid(k + 1, dims) for k, dims in enumerate(spec.lattice())]
-        self._save(spec.name, cuboids, [], {"enabled": spec.enabled, "next_segment": 1, "kinds": kinds or {}})
+        if self._manifests(spec.name) or not self._save(spec.name, cuboids, [], {"enabled": spec.enabled, "next_segment": 1, "kinds": kinds or {}}):
+            raise ValueError(f"cube {spec.name} is there")
         return cuboids
 
     def enable(self, spec: CubeSpec, on: bool = True) -> None:
-        cuboids, segments, more = self._load(spec.name)
-        self._save(spec.name, cuboids, segments, more | {"enabled": on})
+        self._change(spec.name, lambda cuboids, segments, more: more.update(enabled=on))
 
     def destroy(self, spec: CubeSpec) -> None:
         """Deletes a disabled cube."""
@@ -106,15 +146,18 @@ class CubeEngine:
 
     def clear(self, spec: CubeSpec) -> None:
         """Deletes a disabled cube's segments; cuboids stay."""
-        cuboids, segments, more = self._load(spec.name)
-        if more["enabled"]:
-            raise ValueError("disable the cube first")
-        self._save(spec.name, cuboids, [], more)
-        for c in cuboids:
+
+        def change(cuboids, segments, more):
+            if more["enabled"]:
+                raise ValueError("disable the cube first")
+            segments.clear()
+            return cuboids
+
+        for c in self._change(spec.name, change):
             files.delete(self.spark, f"{self.root}/{spec.name}/cuboid={c.id}")
 
     def cubes(self) -> DataFrame:
-        names = [n for n in files.listing(self.spark, self.root) if files.exists(self.spark, self._path(n))]
+        names = [n for n in files.listing(self.spark, self.root) if self._manifests(n)]
         return self.spark.createDataFrame([(n, n.partition(".")[0] if "." in n else "", n.rpartition(".")[2], bool(self._load(n)[2]["enabled"])) for n in names], "cube string, schema string, table string, enabled boolean")
 
     def cuboids(self, spec: CubeSpec) -> DataFrame:
@@ -137,17 +180,23 @@ class CubeEngine:
         stats = [StructField(c, LongType() if c == states.CNT else BinaryType() if c.endswith("_hll") else DoubleType()) for c in states.columns(spec)]
         return StructType([*dims, *stats])
 
-    def _write(self, df: DataFrame, spec: CubeSpec, cuboid: Cuboid, segment: int) -> int:
-        """Writes one cuboid of one segment, sorted for skipping; returns its rows. A repeated attempt overwrites itself."""
-        out = df.sortWithinPartitions(*cuboid.dims) if cuboid.dims else df
-        if cuboid.dims and len(cuboid.dims) < 3:
-            out = df.coalesce(1).sortWithinPartitions(*cuboid.dims)
+    def _write(self, df: DataFrame, spec: CubeSpec, cuboid: Cuboid, segment: int) -> None:
+        """Writes one cuboid of one segment, sorted for skipping; files are as many as the rows ask for. A repeated attempt overwrites itself."""
+        out = df.hint("rebalance")
+        out = out.sortWithinPartitions(*cuboid.dims) if cuboid.dims else out
         out.write.mode("overwrite").parquet(self._folder(spec, cuboid, segment))
-        return self._read(spec, cuboid, [segment]).count()
 
-    def _read(self, spec: CubeSpec, cuboid: Cuboid, segments: list[int]) -> DataFrame:
-        kinds = self._load(spec.name)[2]["kinds"]
-        schema = self._schema(spec, cuboid, kinds)
+    def _count(self, spec: CubeSpec, cuboids: list[Cuboid], segments: list[int]) -> dict[tuple[int, int], int]:
+        """(cuboid, segment) -> rows, from the files' footers, in one job."""
+        base = f"{self.root}/{spec.name}"
+        folders = [f for c in cuboids for s in segments if files.exists(self.spark, f := self._folder(spec, c, s))]
+        if not folders:
+            return {}
+        got = self.spark.read.schema("cuboid int, segment long").option("basePath", base).parquet(*folders).groupBy("cuboid", "segment").count()
+        return {(r["cuboid"], r["segment"]): r["count"] for r in got.collect()}
+
+    def _read(self, spec: CubeSpec, cuboid: Cuboid, segments: list[int], kinds: dict[str, str] | None = None) -> DataFrame:
+        schema = self._schema(spec, cuboid, self._load(spec.name)[2]["kinds"] if kinds is None else kinds)
         base = f"{self.root}/{spec.name}/cuboid={cuboid.id}"
         if not segments:
             return self.spark.createDataFrame([], StructType([*schema, StructField("segment", LongType())]))
@@ -156,11 +205,13 @@ class CubeEngine:
 
     # ---- ingest
 
-    def ingest(self, spec: CubeSpec, facts: DataFrame, json_facts: bool = False, raw: bool | None = None, batch: str | None = None) -> int:
+    def ingest(self, spec: CubeSpec, facts: DataFrame, json_facts: bool = False, raw: bool | None = None, batch: str | None = None, bad: str = "fail", empty: str = "fail") -> int | None:
         """One batch becomes one segment with all cuboids. json_facts: facts has a JSON text column `content`.
 
-        A batch id that is already there changes nothing and returns its segment. A failing batch leaves no
-        trace in the manifest.
+        bad: a text that isn't a JSON object makes the batch `fail`, or counts as a fact without values (`null`), or is left
+        out (`skip`). A batch without facts, or whose facts cancel, fails as well, or adds nothing and returns
+        None with empty=`skip`. A batch id that is already there changes nothing and returns its segment. A
+        failing batch leaves no trace but its segment id.
         """
         cuboids, segments, more = self._load(spec.name)
         if not more["enabled"]:
@@ -169,31 +220,54 @@ class CubeEngine:
             for s in segments:
                 if s.batch == batch:
                     return s.id
-        ident = more["next_segment"]
-        source = fact_streams.from_json(facts, spec) if json_facts else facts
-        projected = states.projected(source, spec, json_facts if raw is None else raw)
+        ident, kinds, whole, seen = self._reserve(spec.name), more["kinds"], cuboids[0], Observation()
+        source = fact_streams.from_json(facts, spec, bad=bad) if json_facts else facts
+        projected = states.projected(source, spec, json_facts if raw is None else raw).observe(seen, F.count(F.lit(1)).alias("n"))
         segment = Segment(ident, batch=batch)
-        whole = cuboids[0]
-        time = [F.min(F.struct(*LEVELS)).alias("lo"), F.max(F.struct(*LEVELS)).alias("hi")] if spec.time and set(LEVELS) <= set(whole.dims) else []
-        segment.rows[str(whole.id)] = self._write(projected.groupBy(*whole.dims).agg(*states.partial(spec)), spec, whole, ident)
-        segment.facts = facts.count()
-        if time:
-            known = self._read(spec, whole, [ident]).filter((F.col(LEVELS[0]).isNotNull()) & (F.col(LEVELS[0]) != "0000"))
-            lo, hi = known.agg(*time).first()
-            segment.eldest, segment.youngest = (stamp(lo), stamp(hi)) if lo else (None, None)
-        self._children(spec, cuboids, segment)
+        self._write(projected.groupBy(*whole.dims).agg(*states.partial(spec)), spec, whole, ident)
+        written = self._read(spec, whole, [ident], kinds)
+        timed = bool(spec.time) and set(LEVELS) <= set(whole.dims)
+        known = F.col(LEVELS[0]).isNotNull() & (F.col(LEVELS[0]) != "0000") if timed else F.lit(False)
+        point = F.when(known, F.struct(*LEVELS)) if timed else F.lit(None).cast("string")
+        n, lo, hi = written.agg(F.count_if(states.valid(spec)), F.min(point), F.max(point)).first()
+        if not n:
+            files.delete(self.spark, self._folder(spec, whole, ident))
+            if empty == "skip":
+                return None
+            raise EmptyBatch(f"the batch leaves no cell of {spec.name}")
+        segment.facts = seen.get["n"]
+        segment.eldest, segment.youngest = (stamp(lo), stamp(hi)) if lo else (None, None)
+        segment.rows[str(whole.id)] = self._count(spec, [whole], [ident])[whole.id, ident]
+        self._fill(spec, cuboids, segment, kinds)
         segment.level = level(sum(segment.rows.values())) or 0
-        self._save(spec.name, cuboids, [*segments, segment], more | {"next_segment": ident + 1})
-        return ident
-
-    def _children(self, spec: CubeSpec, cuboids: list[Cuboid], segment: Segment) -> None:
-        """Builds what a segment lacks, each cuboid from the smallest one that is written."""
-        for c in sorted(cuboids, key=lambda c: -len(c.dims)):
-            if str(c.id) not in segment.rows and c.phase != CuboidPhase.DEPRECATED.name:
-                have = {x.dims: segment.rows[str(x.id)] for x in cuboids if str(x.id) in segment.rows}
-                up = parent(c.dims, have)
-                above = next(x for x in cuboids if x.dims == up)
-                segment.rows[str(c.id)] = self._write(build.rollup(self._read(spec, above, [segment.id]), c.dims, spec), spec, c, segment.id)
+
+        def change(now, others, _):
+            for s in others:
+                if batch is not None and s.batch == batch:
+                    return s.id
+            self._fill(spec, now, segment, kinds)  # cuboids that were added meanwhile
+            others.append(segment)
+            return ident
+
+        return self._change(spec.name, change)
+
+    def _fill(self, spec: CubeSpec, cuboids: list[Cuboid], segment: Segment, kinds: dict[str, str]) -> None:
+        """Builds all cuboids that a segment lacks in one job, from the smallest written one that covers them."""
+        missing = [c for c in cuboids if str(c.id) not in segment.rows and c.phase != CuboidPhase.DEPRECATED.name]
+        if not missing:
+            return
+        wanted = {d for c in missing for d in c.dims}
+        above = min((c for c in cuboids if str(c.id) in segment.rows and wanted <= set(c.dims)), key=lambda c: (segment.rows[str(c.id)], len(c.dims), cuboid_name(c.dims)))
+        bits = {sum(0 if d in c.dims else 1 << len(above.dims) - 1 - i for i, d in enumerate(above.dims)): c.id for c in missing}
+        number = F.lit(None).cast("int")
+        for k, v in bits.items():
+            number = F.when(F.col("_set") == k, v).otherwise(number)
+        dims = [F.col(d) for d in above.dims]
+        got = self._read(spec, above, [segment.id], kinds).groupingSets([[F.col(d) for d in c.dims] for c in missing], *dims).agg(F.grouping_id().cast("long").alias("_set"), *states.merge(spec))
+        got = got.select(number.alias("cuboid"), F.lit(segment.id).cast("long").alias("segment"), *dims, *states.columns(spec)).hint("rebalance", "cuboid").sortWithinPartitions("cuboid", *above.dims)
+        got.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cuboid", "segment").parquet(f"{self.root}/{spec.name}")
+        rows = self._count(spec, missing, [segment.id])
+        segment.rows |= {str(c.id): rows.get((c.id, segment.id), 0) for c in missing}
 
     # ---- query
 
@@ -202,7 +276,10 @@ class CubeEngine:
 
     def route(self, spec: CubeSpec, dims: tuple[str, ...]) -> Cuboid:
         """The exact cuboid if there is one, else that of the loosened dimensions, else the smallest that covers them. Time levels pull in their ancestors."""
-        cuboids, segments, _ = self._load(spec.name)
+        return self._routed(spec, dims, self._load(spec.name))
+
+    def _routed(self, spec: CubeSpec, dims: tuple[str, ...], loaded: tuple) -> Cuboid:
+        cuboids, segments, _ = loaded
         good = [c for c in cuboids if c.phase == CuboidPhase.PRODUCTIVE.name]
         deepest = max((i for i, x in enumerate(LEVELS) if x in dims), default=-1)
         wanted = spec.order({*dims, *LEVELS[: deepest + 1]})
@@ -218,10 +295,10 @@ class CubeEngine:
 
     def query(self, spec: CubeSpec, q: Query, average: bool = True) -> DataFrame:
         """Merged and finished rows: asked dimensions and each measure's results."""
-        _, segments, _ = self._load(spec.name)
+        loaded = self._load(spec.name)
         conditions, used = self._conditions(spec, q)
-        cuboid = self.route(spec, tuple(dict.fromkeys([*q.dims, *used])))
-        df = self._read(spec, cuboid, self._live(segments))
+        cuboid = self._routed(spec, tuple(dict.fromkeys([*q.dims, *used])), loaded)
+        df = self._read(spec, cuboid, self._live(loaded[1]), loaded[2]["kinds"])
         for c in conditions:
             df = df.filter(c)
         out = build.rollup(df, q.dims, spec).filter(states.valid(spec)).select(*q.dims, *states.finished(spec, average))
@@ -231,7 +308,7 @@ class CubeEngine:
 
     def _conditions(self, spec: CubeSpec, q: Query) -> tuple[list[Column], list[str]]:
         """Conditions on stored columns. A time literal only needs the levels that it tells apart; they compare as one key."""
-        out, used = [], []
+        out, used, bounds = [], [], {}
         literals = [str(v) for c, _, v in q.where if c == spec.time and spec.time]
         depth = timeplan.needed_depth(literals)
         for column, op, value in q.where:
@@ -245,9 +322,17 @@ class CubeEngine:
                 elif op in (">=", ">", "<", "<="):
                     first = F.col(own[0])  # the leading level alone prunes row groups
                     out.append(first >= point[:4] if op in (">=", ">") else first <= point[:4])
+                    bounds[op[0]] = timeplan.parts(str(value), depth)
             else:
                 used.append(column)
                 out.append(OPERATORS[op](F.col(column), value))
+        if set(bounds) == {"<", ">"}:
+            # Levels that both ends share are equalities, and the first that differs is a range: all are pushed to the scan.
+            for name, low, high in zip(LEVELS, bounds[">"], bounds["<"], strict=False):
+                if low != high:
+                    out += [F.col(name) >= low, F.col(name) <= high]
+                    break
+                out.append(F.col(name) == low)
         return out, used
 
     def scan(self, spec: CubeSpec, dims: tuple[str, ...], segments: list[int] | None = None, where: Column | None = None, check: bool = False) -> DataFrame:
@@ -286,49 +371,68 @@ class CubeEngine:
         old = [s for s in live if ids and s.id in ids]
         if len(old) < 2:
             return None
-        ident = more["next_segment"]
+        ident, kinds = self._reserve(spec.name), more["kinds"]
         new = Segment(ident, SegmentType.COMBINE.name, facts=sum(s.facts for s in old), eldest=min((s.eldest for s in old if s.eldest), default=None), youngest=max((s.youngest for s in old if s.youngest), default=None))
-        for c in cuboids:
-            if all(str(c.id) in s.rows for s in old):
-                new.rows[str(c.id)] = self._write(build.rollup(self._read(spec, c, [s.id for s in old]), c.dims, spec), spec, c, ident)
+        whole = cuboids[0]
+        self._write(build.rollup(self._read(spec, whole, [s.id for s in old], kinds), whole.dims, spec), spec, whole, ident)
+        new.rows[str(whole.id)] = self._count(spec, [whole], [ident])[whole.id, ident]
+        self._fill(spec, cuboids, new, kinds)
         new.level = max(level(sum(new.rows.values())) or 0, max(s.level for s in old))
-        for s in old:
-            s.phase, s.archived = SegmentPhase.ARCHIVE.name, datetime.now().isoformat()
-        self._save(spec.name, cuboids, [*segments, new], more | {"next_segment": ident + 1})
-        return ident
+
+        def change(now, known, _):
+            mine = [s for s in known if s.id in {o.id for o in old} and s.visible]
+            if len(mine) < len(old):
+                return None  # another writer has combined or dropped some of them
+            self._fill(spec, now, new, kinds)
+            for s in mine:
+                s.phase, s.archived = SegmentPhase.ARCHIVE.name, datetime.now().isoformat()
+            known.append(new)
+            return ident
+
+        return self._change(spec.name, change)
 
     def mend(self, spec: CubeSpec, dims: tuple[str, ...]) -> int:
         """Adds a cuboid to the cube and to each live segment, from the smallest parent there."""
-        cuboids, segments, more = self._load(spec.name)
         ordered = spec.order(dims)
-        cuboid = next((c for c in cuboids if c.dims == ordered), None)
-        if cuboid is None:
-            cuboid = Cuboid(max(c.id for c in cuboids) + 1, ordered, CuboidPhase.CHARGING.name)
-            cuboids.append(cuboid)
-        for s in segments:
-            if s.visible:
-                self._children(spec, cuboids, s)
-        cuboid.phase = CuboidPhase.PRODUCTIVE.name
-        self._save(spec.name, cuboids, segments, more)
-        return cuboid.id
+
+        def add(cuboids, segments, more):
+            if all(c.dims != ordered for c in cuboids):
+                cuboids.append(Cuboid(max(c.id for c in cuboids) + 1, ordered, CuboidPhase.CHARGING.name))
+
+        def charge(cuboids, segments, more):
+            for s in segments:
+                if s.visible:
+                    self._fill(spec, cuboids, s, more["kinds"])
+            cuboid = next(c for c in cuboids if c.dims == ordered)
+            cuboid.phase = CuboidPhase.PRODUCTIVE.name
+            return cuboid.id
+
+        self._change(spec.name, add)
+        return self._change(spec.name, charge)
 
     def expire(self, spec: CubeSpec, now: str) -> list[int]:
         """Archives segments whose youngest fact is older than the cube's time to live before `now`."""
-        cuboids, segments, more = self._load(spec.name)
         if not spec.ttl_ms:
             return []
         edge = datetime.fromisoformat(now).timestamp() * 1000 - spec.ttl_ms
-        gone = [s for s in segments if s.visible and s.youngest and datetime.fromisoformat(s.youngest).timestamp() * 1000 < edge]
-        for s in gone:
-            s.phase, s.archived = SegmentPhase.ARCHIVE.name, now
-        self._save(spec.name, cuboids, segments, more)
-        return [s.id for s in gone]
+
+        def change(cuboids, segments, more):
+            gone = [s for s in segments if s.visible and s.youngest and datetime.fromisoformat(s.youngest).timestamp() * 1000 < edge]
+            for s in gone:
+                s.phase, s.archived = SegmentPhase.ARCHIVE.name, now
+            return [s.id for s in gone]
+
+        return self._change(spec.name, change)
 
     def purge(self, spec: CubeSpec) -> int:
         """Deletes archived segments' files; returns their number. Run it when no reader follows an older manifest."""
-        cuboids, segments, more = self._load(spec.name)
-        gone = [s for s in segments if s.phase == SegmentPhase.ARCHIVE.name]
-        self._save(spec.name, cuboids, [s for s in segments if s not in gone], more)
+
+        def change(cuboids, segments, more):
+            gone = [s for s in segments if s.phase == SegmentPhase.ARCHIVE.name]
+            segments[:] = [s for s in segments if s not in gone]
+            return cuboids, gone
+
+        cuboids, gone = self._change(spec.name, change)
         for s in gone:
             for c in cuboids:
                 files.delete(self.spark, self._folder(spec, c, s.id))
@@ -342,11 +446,20 @@ class CubeEngine:
         return df.groupBy("kind", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("n_rows"))
 
     def audit(self, spec: CubeSpec) -> DataFrame:
-        """(segment_id, cuboid_id) that should have rows by the manifest's own base count, but have none."""
+        """(segment_id, cuboid_id) of live segments and productive cuboids whose files are missing or hold other rows than the manifest says."""
         cuboids, segments, _ = self._load(spec.name)
-        missing = [(s.id, c.id) for s in segments if s.visible and s.rows.get(str(cuboids[0].id), 0) for c in cuboids if c.phase == CuboidPhase.PRODUCTIVE.name and not s.rows.get(str(c.id))]
+        live = [s for s in segments if s.visible]
+        rows = self._count(spec, cuboids, [s.id for s in live])
+        good = [c for c in cuboids if c.phase == CuboidPhase.PRODUCTIVE.name]
+        missing = [(s.id, c.id) for s in live for c in good if not rows.get((c.id, s.id)) or rows[c.id, s.id] != s.rows.get(str(c.id))]
         return self.spark.createDataFrame(missing, "segment_id long, cuboid_id int")
 
+    def segment_ids(self, spec: CubeSpec, dims: tuple[str, ...]) -> DataFrame:
+        """(segment_id) of the live segments that a cuboid's stored cells belong to: distinct folder names, no data is read."""
+        cuboids, segments, more = self._load(spec.name)
+        cuboid = next(c for c in cuboids if c.dims == spec.order(dims))
+        return self._read(spec, cuboid, self._live(segments), more["kinds"]).select(F.col("segment").alias("segment_id")).distinct()
+
     def system_facts(self, spec: CubeSpec, at: str) -> DataFrame:
         """Row counts as facts: ADD for each live segment's cuboids, REMOVE for each archived one's beside its ADD."""
         cuboids, segments, _ = self._load(spec.name)
@@ -358,14 +471,27 @@ class CubeEngine:
                 rows += [(spec.schema_name, spec.table_name, str(s.id), cuboid_name(c.dims), float(n), op, at) for op in both]
         return self.spark.createDataFrame(rows, "schema string, cube string, segment string, cuboid string, count double, OLAP_OPERATION string, addTime string")
 
-    def relations(self, spec: CubeSpec) -> DataFrame:
-        """(cuboid, parent): from which cuboid each is rolled up."""
-        cuboids, segments, _ = self._load(spec.name)
-        counts = {c.dims: sum(s.rows.get(str(c.id), 0) for s in segments if s.visible) for c in cuboids}
-        return self.spark.createDataFrame([(cuboid_name(c), cuboid_name(p) if p is not None else None) for c, p in parents(list(counts), counts).items()], "cuboid string, parent string")
+    # ---- operations by name
+
+    def operate(self, name: str, spec: CubeSpec, group: str | None = None, **parameters):
+        """Runs `build`, `combine`, `mend`, `expire`, `purge`, `flush` or `info` with parameters, as a job group that `cancel` can stop."""
+        known = {"build": self.ingest, "combine": self.compact, "mend": self.mend, "expire": self.expire, "purge": self.purge, "info": self.segments, "flush": lambda s: self.compact(s, force=True)}
+        if name not in known:
+            raise KeyError(f"no operation {name}")
+        context = self.spark.sparkContext
+        context.setJobGroup(group or f"{spec.name}-{name}", f"{name} {spec.name}", True)
+        try:
+            return known[name](spec, **parameters)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def running(self, group: str) -> bool:
+        """Whether a job of the group still runs."""
+        tracker = self.spark.sparkContext.statusTracker()
+        return any((i := tracker.getJobInfo(j)) and i.status == "RUNNING" for j in tracker.getJobIdsForGroup(group))
 
     def cancel(self, group: str) -> str:
-        """Stops the jobs of a group that ingest, compact or mend was started in."""
+        """Stops the jobs of a group that an operation was started in."""
         self.spark.sparkContext.cancelJobGroup(group)
         return TaskPhase.FAILED.name
 

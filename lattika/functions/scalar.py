@@ -40,6 +40,7 @@ def compact_hour(ts: Column) -> Column:
 
 
 def from_compact(text: Column) -> Column:
+    """A day from `yyyyMMdd`; null if it is none."""
     return F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
 
 
@@ -47,6 +48,29 @@ def minute_floor(ts: Column) -> Column:
     return F.date_trunc("minute", ts)
 
 
+def clock12(ts: Column) -> Column:
+    """`yyyy-MM-dd hh:mm:ss` with hours from 01 to 12, as clocks show them."""
+    return F.date_format(ts, "yyyy-MM-dd hh:mm:ss")
+
+
+def past_date(ts: Column, days: int) -> Column:
+    """The day's start, so many days before."""
+    return F.date_trunc("day", ts) - F.make_dt_interval(F.lit(days))
+
+
+def nanos(millis: Column) -> Column:
+    return millis.cast("long") * 1_000_000
+
+
+def millis(nano: Column) -> Column:
+    return F.floor(nano / 1_000_000).cast("long")
+
+
+def left_time(done: Column, total: Column, spent: Column) -> Column:
+    """The time still needed at the pace so far; null before anything is done."""
+    return F.when(done > 0, spent * (total - done) / done)
+
+
 # ---- texts
 
 
@@ -120,6 +144,25 @@ def base32(raw: Column) -> Column:
     return F.when(five == 0, F.lit("")).otherwise(F.rpad(F.concat_ws("", digits), 8 * F.ceil(five / 8).cast("int"), "="))
 
 
+def unbase32(text: Column) -> Column:
+    """The bytes of a Base32 text; padding is left out, and null stands for a text with other signs."""
+    digits = F.rtrim(F.upper(text), F.lit("="))
+    n = F.length(digits)
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.bin(F.instr(F.lit(BASE32), F.substring(digits, i, F.lit(1))) - 1), 5, "0"))
+    bits = F.concat_ws("", each)
+    bytes_ = F.floor(n * 5 / 8).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), bytes_ - 1), lambda k: F.lpad(F.conv(F.substring(bits, 8 * k + 1, F.lit(8)), 2, 16), 2, "0"))
+    return F.when(bytes_ == 0, F.lit("").cast("binary")).when(digits.rlike("^[A-Z2-7]*$"), F.unhex(F.concat_ws("", pairs)))
+
+
+def base64(raw: Column) -> Column:
+    return F.base64(raw)
+
+
+def hexed(raw: Column) -> Column:
+    return F.hex(raw)
+
+
 # ---- numbers and keys
 
 
@@ -142,6 +185,25 @@ def rank_key(text: Column) -> Column:
     return F.struct(F.octet_length(text).alias("n"), text.alias("v"))
 
 
+#: What counts as null for a type, and stands in for it.
+ZEROS = {"string": "", "long": 0, "int": 0, "double": 0.0, "boolean": False}
+
+
+def is_empty(value: Column, kind: str) -> Column:
+    """Whether a value is null or its type's zero."""
+    return F.coalesce(value == F.lit(ZEROS[kind]), F.lit(True))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two values are equal; nulls are equal to each other."""
+    return a.eqNullSafe(b)
+
+
+def as_kind(value: Column, kind: str) -> Column:
+    """A value as another type; its zero where it can't be read."""
+    return F.coalesce(value.try_cast(kind), F.lit(ZEROS[kind]))
+
+
 def incremented(value: Column, by: float) -> Column:
     return value.try_cast("double") + F.lit(by)
 
@@ -191,11 +253,6 @@ def sparse_cosine(a: Column, b: Column) -> Column:
     return F.when((n == 0) | n.isNull() | (both == 0), 0.0).otherwise(both / F.nullif(n, F.lit(0.0)))
 
 
-def unit_tags(tags: Column) -> Column:
-    n = norm(F.map_values(tags))
-    return F.when(n == 0, tags).otherwise(F.transform_values(tags, lambda _, v: v / n))
-
-
 def map_sum(a: Column, b: Column) -> Column:
     """Two maps of numbers added key by key."""
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans import timeplan
 from ..plans.spec import LEVELS
 
+#: Each level's pattern, its zero and the sign behind it in `yyyy-MM-dd HH:mm:ss.SSS`.
 FORMATS = ("yyyy", "MM", "dd", "HH", "mm", "ss", "SSS")
 ZERO = ("0000", "00", "00", "00", "00", "00", "000")
 BETWEEN = ("-", "-", " ", ":", ":", ".")
@@ -29,6 +31,14 @@ def text_levels(text: Column) -> dict[str, Column]:
     return {n: F.when(none, F.lit(z)).otherwise(c) for (n, c), z in zip(levels(parsed(text)).items(), ZERO, strict=True)}
 
 
+def under(literal: str, depth: int) -> Column:
+    """Whether the levels begin as a time literal does, down to a depth; depth 0 and less holds for all. Equalities, so they are pushed to scans."""
+    out = F.lit(True)
+    for name, value in zip(LEVELS, timeplan.parts(literal, depth) if depth > 0 else [], strict=False):
+        out = out & (F.col(name) == value)
+    return out
+
+
 def rebuilt(columns: dict[str, Column]) -> Column:
     """`yyyy-MM-dd HH:mm:ss.SSS` from levels; absent or null ones are zeros."""
     out = []

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import CubeSpec, cuboid_name, parents
+from ..scratch import fresh
 from . import states
 
 
@@ -22,13 +23,17 @@ def rollup(parent: DataFrame, dims: Iterable[str], spec: CubeSpec) -> DataFrame:
 
 
 def staged(facts: DataFrame, spec: CubeSpec, raw: bool = False) -> dict[tuple[str, ...], DataFrame]:
-    """Every cuboid of the lattice, each from its smallest parent. The base is cached: its children read it again."""
+    """Every cuboid of the lattice, each from its smallest parent. What has children is written to the shared folder once and read by them."""
     lattice = spec.lattice()
-    out = {lattice[0]: base(facts, spec, raw).persist()}
-    above = parents(lattice)
-    for dims in sorted(lattice[1:], key=len, reverse=True):
-        up = above[dims]
-        out[dims] = rollup(out[up if up in out else lattice[0]], dims, spec)
+    spark, folder, above = facts.sparkSession, fresh(facts.sparkSession, "staged"), parents(lattice)
+    needed = {above[c] for c in lattice[1:]} | {lattice[0]}
+    out: dict[tuple[str, ...], DataFrame] = {}
+    for k, dims in enumerate([lattice[0], *sorted(lattice[1:], key=len, reverse=True)]):
+        df = base(facts, spec, raw) if k == 0 else rollup(out[above[dims] if above[dims] in out else lattice[0]], dims, spec)
+        if dims in needed:
+            df.write.parquet(f"{folder}/{k}")
+            df = spark.read.schema(df.schema).parquet(f"{folder}/{k}")
+        out[dims] = df
     return {c: out[c] for c in lattice}
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import fresh
+
 
 def seek(df: DataFrame, key: str, at) -> DataFrame:
     """The first row with key >= at."""
@@ -26,10 +30,6 @@ def multi_get(df: DataFrame, key: str, keys: list) -> DataFrame:
     return df.filter(F.col(key).isin(keys))
 
 
-def get_all(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_semi")
-
-
 def key_range(df: DataFrame, key: str, start=None, stop=None) -> DataFrame:
     """start <= key < stop; an open end is None."""
     out = df if start is None else df.filter(F.col(key) >= F.lit(start))
@@ -40,8 +40,34 @@ def with_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
     return df.filter(F.col(key).startswith(prefix))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new in place of those of the same key. Keys in new must be unique."""
+def row_count(df: DataFrame) -> DataFrame:
+    """(n): the rows, from partial counts; a file scan reads footers only."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
+class Cursor:
+    """Rows of a result one by one or in batches: partitions come to the driver in turn. count says how many were taken."""
+
+    def __init__(self, df: DataFrame):
+        self.rows, self.columns, self.count = df.toLocalIterator(prefetchPartitions=True), df.columns, 0
+
+    def next(self):
+        """The next row, or None behind the last."""
+        return next(iter(self.take(1)), None)
+
+    def take(self, n: int) -> list:
+        """Up to n further rows."""
+        got = list(islice(self.rows, n)) if self.rows is not None else []
+        self.count += len(got)
+        return got
+
+    def close(self) -> None:
+        self.rows = None
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, version: Column | None = None) -> DataFrame:
+    """old with the rows of new in place of those of the same key. Of several new rows of a key the one with the greatest version counts; without a version keys must be unique."""
+    new = new if version is None else latest(new, key, version)
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
@@ -55,13 +81,22 @@ def delete(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def order_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
-    """Consecutive ids in an order, without a single-partition window: range partitions are counted and offset."""
+    """Consecutive ids in an order, without a single-partition window; ties in any order.
+
+    The range-partitioned rows are written once, each with its partition and its place in it, so that counts
+    and rows are of the same ranges: planned twice, a range shuffle draws its bounds twice.
+    """
     spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    first = parts.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = first.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    path = fresh(spark, "ids")
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # The lower 33 bits of this number count a partition's rows.
+    parts = parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    parts.write.parquet(path)
+    written = spark.read.schema(parts.schema).parquet(path)
+    sizes = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: bounded by their number.
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + start).drop("_part", "_row", "_first", "_n", "_before")
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return written.join(F.broadcast(before), "_part").withColumn(name, F.col("_row") + F.col("_before") + start).drop("_part", "_row", "_before")
 
 
 def merged_order(streams: list[DataFrame], order: list[str]) -> DataFrame:

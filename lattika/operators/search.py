@@ -17,11 +17,10 @@ def tokens(df: DataFrame, row: str, text: str, lower: bool = True) -> DataFrame:
 
 
 def postings(df: DataFrame, row: str, text: str) -> DataFrame:
-    """(word, row, tf, length): how often a word occurs in a row's text, and the text's words."""
-    t = tokens(df, row, text)
-    tf = t.groupBy("word", row).agg(F.count(F.lit(1)).alias("tf"))
-    size = df.select(F.col(row), F.size(F.filter(F.split(F.lower(F.col(text)), "\\s+"), lambda x: x != "")).cast("long").alias("length"))
-    return tf.join(size, row)
+    """(word, row, tf, length): how often a word occurs in a row's text, and the text's words. Rows are unique; texts are read once."""
+    own = df.select(F.col(row), F.filter(F.split(F.lower(F.col(text)), "\\s+"), lambda x: x != "").alias("_w"))
+    each = own.select(F.col(row), F.size("_w").cast("long").alias("length"), F.explode("_w").alias("word"))
+    return each.groupBy("word", row).agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
 def frequencies(posts: DataFrame, row: str) -> DataFrame:
@@ -46,6 +45,30 @@ def removed(posts: DataFrame, rows: DataFrame, column: str | None = None) -> Dat
     return gone.join(rows.select("row").distinct(), "row", "left_anti").select(*posts.columns).unionByName(kept)
 
 
+def dropped(posts: DataFrame, column: str | None = None) -> DataFrame:
+    """An index without one column's postings, or without any."""
+    return posts.limit(0) if column is None else posts.filter(F.col("column") != column)
+
+
+def with_posting(rows: DataFrame, posts: DataFrame, row: str) -> DataFrame:
+    """The candidate rows that a posting list holds."""
+    return rows.join(posts.select(F.col("row").alias(row)).distinct(), row, "left_semi")
+
+
+def intersected(lists: list[DataFrame]) -> DataFrame:
+    """The rows (row) that are on every posting list."""
+    every = [x.select("row").distinct() for x in lists]
+    both = every[0]
+    for x in every[1:]:
+        both = both.unionByName(x)
+    return both.groupBy("row").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(lists)).select("row")
+
+
+def refreshed(posts: DataFrame, row: str) -> DataFrame:
+    """Postings (word, row, tf, ...) with each row's length counted anew from its own postings."""
+    return posts.select("word", row, "tf").join(posts.groupBy(row).agg(F.sum("tf").alias("length")), row)
+
+
 @dataclass(frozen=True)
 class Scope:
     """A range condition start <= column < stop; an open end is None, a null value counts as zero."""
@@ -120,5 +143,4 @@ def bag_times(a: DataFrame, factor: float) -> DataFrame:
 def adjusted(posts: DataFrame, changes: DataFrame, row: str) -> DataFrame:
     """Term counts after changes (word, row, tf), which may be negative; counts at 0 or below go."""
     both = posts.select("word", row, "tf").unionByName(changes.select("word", row, "tf"))
-    tf = both.groupBy("word", row).agg(F.sum("tf").alias("tf")).filter("tf > 0")
-    return tf.join(tf.groupBy(row).agg(F.sum("tf").alias("length")), row)
+    return refreshed(both.groupBy("word", row).agg(F.sum("tf").alias("tf")).filter("tf > 0"), row)

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import COUNT, OPERATION, CubeSpec
 
-SKETCH_BITS, ERROR = 14, 0.0081
+SKETCH_BITS = 14
 SIGN, CNT = "_sign", "cnt"
 
 
+def error_rate(bits: int = SKETCH_BITS) -> float:
+    """The standard error of a sketch of 2 ** bits registers."""
+    return 1.04 / 2 ** (bits / 2)
+
+
 def projected(facts: DataFrame, spec: CubeSpec, raw: bool = True) -> DataFrame:
     """Facts as dimension levels, sign, measure values and distinct texts.
 

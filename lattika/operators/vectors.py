@@ -34,10 +34,15 @@ def top_tags(tags: DataFrame, row: str, k: int = 100) -> DataFrame:
     return top_per_key(tags, row, [F.desc("weight"), F.col("word")], k)
 
 
-def top_tag_map(tags: Column, k: int) -> Column:
-    """The same for a map column."""
-    order = F.array_sort(F.transform(F.map_entries(tags), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("k"))))
-    return F.map_from_entries(F.transform(F.slice(order, 1, k), lambda e: F.struct(e["k"], -e["w"])))
+def latent(row: Column, terms: int) -> Column:
+    """A row's starting vector: numbers in [0, 1) that only the row and the term's place set, so that it is the same each time."""
+    unit = lambda k: F.shiftrightunsigned(F.xxhash64(row, k), 11).cast("double") / float(1 << 53)
+    return F.transform(F.sequence(F.lit(0), F.lit(terms - 1)), unit)
+
+
+def with_term(vector: Column, place: Column, by: Column) -> Column:
+    """A latent vector whose term at a place (from 0) has grown by a number."""
+    return F.transform(vector, lambda x, k: F.when(k == place, x + by).otherwise(x))
 
 
 def unit_length(tags: DataFrame, row: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import sql as sqlapi
 from .engine import CubeEngine, Query
@@ -16,6 +17,7 @@ from .plans.spec import LEVELS, CubeSpec, cuboid_name, parents
 from .scratch import fresh
 from .sources import documents as documents_source
 from .sources import facts as fact_streams
+from .sources import files
 
 LINEITEM = CubeSpec.parse("sales.lineitem", "l_returnflag:string|l_linestatus:string|l_shipdate:timestamp", "l_quantity:double,l_extendedprice:double,l_orderkey.distinct:long", time="l_shipdate", index="l_returnflag")
 FLAGS = CubeSpec.parse("sales.flags", "l_returnflag:string|l_linestatus:string", "l_quantity:double,l_extendedprice:double")
@@ -69,10 +71,11 @@ def d03(spark, sf):
 
 @query("d05_distinct_within", "SELECT l_returnflag, true AS ok FROM lineitem GROUP BY 1")
 def d05(spark, sf):
-    t = table(spark, sf, "lineitem")
+    # Three standard errors of the sketch.
+    t, bound = table(spark, sf, "lineitem"), 3 * states.error_rate()
     est = cube.rollup(cube.base(t, LINEITEM), ["l_returnflag"], LINEITEM).select("l_returnflag", F.hll_sketch_estimate("l_orderkey_hll").alias("e"))
     exact = t.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("x"))
-    return est.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("e") - F.col("x")) <= 0.03 * F.col("x")).alias("ok"))
+    return est.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("e") - F.col("x")) <= bound * F.col("x")).alias("ok"))
 
 
 @query("d06_dirty_facts", """
@@ -93,13 +96,14 @@ def d09(spark, sf):
     return cube.rollup(b, ["l_linestatus"], FLAGS).select("l_linestatus", "cnt", F.round("l_quantity_sum", 2).alias("s"))
 
 
+SEGMENTED = CubeSpec.parse("sales.segmented", "seg:long|l_returnflag:string|l_linestatus:string", "l_quantity:double,l_extendedprice:double")
+
+
 @query("d10_merge_segments", "SELECT l_returnflag, l_linestatus, count(*) AS cnt, round(sum(l_quantity), 2) AS s, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem GROUP BY 1, 2")
 def d10(spark, sf):
-    t = table(spark, sf, "lineitem").withColumn("seg", F.pmod("l_orderkey", F.lit(16)))
-    p = states.projected(t, FLAGS, raw=False).withColumn("seg", F.lit(0)) if "seg" not in t.columns else t
-    values = [F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"v_{m}") for m in FLAGS.stats]
-    segs = p.select("seg", "l_returnflag", "l_linestatus", F.lit(1).alias(states.SIGN), *values).groupBy("seg", "l_returnflag", "l_linestatus").agg(*states.partial(FLAGS))
-    return cube.rollup(segs, ["l_returnflag", "l_linestatus"], FLAGS).select("l_returnflag", "l_linestatus", "cnt", F.round("l_quantity_sum", 2).alias("s"), F.col("l_extendedprice_min").alias("mn"), F.col("l_extendedprice_max").alias("mx"))
+    segments = cube.base(table(spark, sf, "lineitem").withColumn("seg", F.pmod("l_orderkey", F.lit(16))), SEGMENTED)
+    merged = cube.rollup(segments, ["l_returnflag", "l_linestatus"], FLAGS)
+    return merged.select("l_returnflag", "l_linestatus", "cnt", F.round("l_quantity_sum", 2).alias("s"), F.col("l_extendedprice_min").alias("mn"), F.col("l_extendedprice_max").alias("mx"))
 
 
 CUBE_SQL = """SELECT CASE grouping_id(l_returnflag, l_linestatus) WHEN 0 THEN 'l_linestatus:l_returnflag' WHEN 1 THEN 'l_returnflag' WHEN 2 THEN 'l_linestatus' ELSE '' END AS cuboid,
@@ -182,33 +186,81 @@ def d25(spark, sf):
     return got.select("segment", F.date_format("eldest", "yyyy-MM-dd HH:mm:ss").alias("eldest"), F.date_format("youngest", "yyyy-MM-dd HH:mm:ss").alias("youngest"))
 
 
-@query("d29_bag_scale", "SELECT word, CAST(count(*) * 0.5 AS DOUBLE) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(*) >= 500")
+WORDS = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents)"
+
+
+@query("d21_error_rate", "SELECT round(1.04 / sqrt(16384), 9) AS rate")
+def d21(spark, sf):
+    return spark.range(1).select(F.round(F.lit(states.error_rate()), 9).alias("rate"))
+
+
+@query("d24_sketch_order", "SELECT event_type, row_number() OVER (ORDER BY count(DISTINCT user_id) DESC, event_type) AS place FROM events GROUP BY 1")
+def d24(spark, sf):
+    n = cube.base(table(spark, sf, "events"), TYPES).select("event_type", F.round(-F.hll_sketch_estimate("user_id_hll")).alias("e"))
+    return keys.order_ids(n, ["e", "event_type"], "place").select("event_type", F.col("place").cast("long").alias("place"))
+
+
+@query("d29_bag_scale", f"SELECT word, CAST(count(*) * 0.5 AS DOUBLE) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1")
 def d29(spark, sf):
-    return search.bag_times(search.bag(table(spark, sf, "documents"), "doc_id", "text").filter("n >= 500"), 0.5)
+    return search.bag_times(search.bag(table(spark, sf, "documents"), "doc_id", "text"), 0.5)
 
 
-@query("d30_document_frequency", "SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 100")
+@query("d30_document_frequency", f"SELECT word, count(DISTINCT doc_id) AS df FROM {WORDS} WHERE word <> '' GROUP BY 1")
 def d30(spark, sf):
-    return search.frequencies(search.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id").filter("df >= 100")
+    return search.frequencies(search.postings(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query("d30_adjusted_index", f"""
+WITH t AS (SELECT doc_id, word, count(*) AS tf FROM {WORDS} WHERE word <> '' AND doc_id % 3 <> 0 GROUP BY 1, 2)
+SELECT word, doc_id, tf, CAST(sum(tf) OVER (PARTITION BY doc_id) AS BIGINT) AS length FROM t""")
+def d30b(spark, sf):
+    p = search.postings(table(spark, sf, "documents"), "doc_id", "text")
+    gone = p.filter("doc_id % 3 = 0").select("word", "doc_id", (-F.col("tf")).alias("tf"))
+    return search.adjusted(p, gone, "doc_id").select("word", "doc_id", "tf", "length")
+
+
+@query("d31_length_refresh", f"SELECT doc_id, CAST(count(*) AS BIGINT) AS length, count(DISTINCT word) AS words FROM {WORDS} WHERE word <> '' GROUP BY 1")
+def d31(spark, sf):
+    stale = search.postings(table(spark, sf, "documents"), "doc_id", "text").withColumn("length", F.lit(-1))
+    return search.refreshed(stale, "doc_id").groupBy("doc_id").agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("words"))
+
+
+def by_source(spark, sf) -> DataFrame:
+    """side (two halves of documents), lang, source and how many documents."""
+    return table(spark, sf, "documents").groupBy((F.col("doc_id") % 2).alias("side"), "lang", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-@query("d33_map_merge", """
-WITH w AS (SELECT doc_id % 2 AS side, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) WHERE word IN ('the', 'de', 'der', 'of', 'and') GROUP BY 1, 2)
-SELECT word, CAST(sum(n) AS DOUBLE) AS n FROM w GROUP BY 1""")
+def side_maps(rows: DataFrame, key: str, value: str, empty: str) -> DataFrame:
+    """m0 and m1: the maps key -> value of the two sides."""
+    side = rows.groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    return side.agg(*[F.coalesce(F.first(F.when(F.col("side") == k, F.col("m")), ignorenulls=True), F.expr(f"map_from_entries(cast(array() as array<struct<k:string,v:{empty}>>))")).alias(f"m{k}") for k in (0, 1)])
+
+
+@query("d33_map_merge", "SELECT coalesce(source, '') AS source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY 1")
 def d33(spark, sf):
-    t = search.tokens(table(spark, sf, "documents"), "doc_id", "text").filter(F.col("word").isin("the", "de", "der", "of", "and"))
-    side = t.groupBy((F.col("doc_id") % 2).alias("side"), "word").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("m"))
-    none = F.expr("map_from_entries(cast(array() as array<struct<word:string,n:double>>))")
-    both = side.agg(F.max(F.when(F.col("side") == 0, 0)).alias("_"), *[F.coalesce(F.first(F.when(F.col("side") == k, F.col("m")), ignorenulls=True), none).alias(f"m{k}") for k in (0, 1)])
-    return both.select(F.explode(scalar.map_sum(F.col("m0"), F.col("m1"))).alias("word", "n"))
+    both = side_maps(by_source(spark, sf).groupBy("side", "source").agg(F.sum("n").alias("n")), "source", "n", "double")
+    return both.select(F.explode(scalar.map_sum(F.col("m0"), F.col("m1"))).alias("source", "n"))
+
+
+@query("d33_map_merge_nested", "SELECT lang, coalesce(source, '') AS source, CAST(count(*) AS DOUBLE) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2")
+def d33b(spark, sf):
+    inner = by_source(spark, sf).filter("lang is not null").groupBy("side", "lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
+    both = side_maps(inner, "lang", "m", "map<string,double>")
+    return both.select(F.explode(scalar.map_sum2(F.col("m0"), F.col("m1"))).alias("lang", "m")).select("lang", F.explode("m").alias("source", "n"))
 
 
-@query("d34_parents", "SELECT * FROM (VALUES ('l_linestatus:l_returnflag', NULL), ('l_linestatus', 'l_linestatus:l_returnflag'), ('l_returnflag', 'l_linestatus:l_returnflag'), ('', 'l_linestatus')) AS t(cuboid, parent)")
+@query("d34_parents", """
+WITH n AS (SELECT count(DISTINCT l_returnflag) AS f, count(DISTINCT l_linestatus) AS s FROM lineitem)
+SELECT * FROM (VALUES ('l_linestatus:l_returnflag', NULL), ('l_linestatus', 'l_linestatus:l_returnflag'), ('l_returnflag', 'l_linestatus:l_returnflag')) AS t(cuboid, parent)
+UNION ALL SELECT '', CASE WHEN s <= f THEN 'l_linestatus' ELSE 'l_returnflag' END FROM n""")
 def d34(spark, sf):
-    t = table(spark, sf, "lineitem").agg(F.countDistinct("l_returnflag").alias("f"), F.countDistinct("l_linestatus").alias("s")).first()
-    whole, *_ = FLAGS.lattice()
-    rows = {whole: t["f"] * t["s"], ("l_returnflag",): t["f"], ("l_linestatus",): t["s"], (): 1}
-    return spark.createDataFrame([(cuboid_name(c), cuboid_name(p) if p is not None else None) for c, p in parents(FLAGS.lattice(), rows).items()], "cuboid string, parent string")
+    e = engine(spark)
+    e.create(FLAGS)
+    e.ingest(FLAGS, table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"))
+    counts = {tuple(r["cuboid"].split(":")) if r["cuboid"] else (): r["n_rows"] for r in e.cuboids(FLAGS).collect()}
+    return spark.createDataFrame([(cuboid_name(c), cuboid_name(p) if p is not None else None) for c, p in parents(FLAGS.lattice(), counts).items()], "cuboid string, parent string")
+
+
 
 
 # ---- engine: segments, routing, maintenance
@@ -237,10 +289,36 @@ def a11(spark, sf):
     return e.query(ORDERS, Query(("o_orderpriority",))).select("o_orderpriority", "cnt", F.round("o_totalprice_sum", 2).alias("s"), F.col("o_totalprice_min").alias("mn"), F.col("o_totalprice_max").alias("mx"))
 
 
-@query("a09_cuboid_scan_range", "SELECT o_orderpriority, count(*) AS cnt FROM orders WHERE o_orderpriority >= '2' AND o_orderpriority < '4' AND o_orderkey % 2 = 0 GROUP BY 1")
+@query("a09_cuboid_scan_range", "SELECT o_orderpriority, count(*) AS cnt, row_number() OVER (ORDER BY o_orderpriority) AS place FROM orders WHERE o_orderpriority >= '2' AND o_orderpriority < '4' AND o_orderkey % 2 = 0 GROUP BY 1")
 def a09(spark, sf):
     e = filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS)
-    return e.scan(ORDERS, ("o_orderpriority",), [1], (F.col("o_orderpriority") >= "2") & (F.col("o_orderpriority") < "4"), check=True).select("o_orderpriority", "cnt")
+    got = e.scan(ORDERS, ("o_orderpriority",), [1], (F.col("o_orderpriority") >= "2") & (F.col("o_orderpriority") < "4"), check=True)
+    return as_delivered(got).select("o_orderpriority", "cnt", "place")
+
+
+@query("a13_cursor", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+def a13(spark, sf):
+    c = keys.Cursor(table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"))
+    rows = [c.next(), *c.take(24)]
+    c.close()
+    return spark.createDataFrame(rows, "o_orderkey long, o_totalprice double")
+
+
+@query("a38_segment_ids", "SELECT DISTINCT o_orderkey % 3 + 1 AS segment_id FROM orders")
+def a38(spark, sf):
+    return filled(spark, sf, ORDERS, "orders", "o_orderkey", 3, ORDER_COLUMNS).segment_ids(ORDERS, ("o_orderstatus",))
+
+
+@query("j01_operations", "SELECT o_orderpriority, count(*) AS cnt, CAST(1 AS BIGINT) AS segments FROM orders GROUP BY 1")
+def j01(spark, sf):
+    e, t = engine(spark), table(spark, sf, "orders")
+    e.create(MANDATORY)
+    for k in (0, 1):
+        e.operate("build", MANDATORY, facts=t.filter(F.pmod("o_orderkey", F.lit(2)) == k).select(*ORDER_COLUMNS))
+    e.operate("mend", MANDATORY, dims=("o_orderpriority",))
+    e.operate("flush", MANDATORY)
+    live = e.operate("info", MANDATORY).filter("phase = 'PRODUCTIVE'").count()
+    return e.query(MANDATORY, Query(("o_orderpriority",))).select("o_orderpriority", "cnt", F.lit(live).cast("long").alias("segments"))
 
 
 @query("b21_loosened_query", f"SELECT n_name, count(*) AS cnt {PLACES_FROM} GROUP BY 1")
@@ -262,9 +340,7 @@ def h04(spark, sf):
 
 @query("b06_time_prefix", "SELECT event_type, count(*) AS cnt FROM events WHERE ts >= '2024-01-07' AND ts < '2024-01-08' GROUP BY 1")
 def b06(spark, sf):
-    b = cube.base(table(spark, sf, "events"), EVENTS)
-    for name, value in zip(LEVELS, timeplan.parts("2024-01-07", 3), strict=False):
-        b = b.filter(F.col(name) == value)
+    b = cube.base(table(spark, sf, "events"), EVENTS).filter(timedim.under("2024-01-07", 3))
     return cube.rollup(b, ["event_type"], EVENTS).select("event_type", "cnt")
 
 
@@ -328,15 +404,20 @@ def i06(spark, sf):
     return e.query(spec, Query(("event_type",))).select("event_type", "cnt")
 
 
-@query("d27_statistics", "SELECT 'cuboid' AS kind, 'PRODUCTIVE' AS phase, CAST(4 AS BIGINT) AS n UNION ALL SELECT 'segment', 'PRODUCTIVE', CAST(2 AS BIGINT)")
+ROWS_SQL = "WITH s AS (SELECT o_orderkey % 2 + 1 AS segment, count(DISTINCT (o_orderpriority, o_orderstatus)) AS a, count(DISTINCT o_orderpriority) AS p, count(DISTINCT o_orderstatus) AS t, 1 AS d FROM orders GROUP BY 1)"
+
+
+@query("d27_statistics", ROWS_SQL + " SELECT 'cuboid' AS kind, 'PRODUCTIVE' AS phase, CAST(4 AS BIGINT) AS n, CAST(sum(a + p + t + d) AS BIGINT) AS n_rows FROM s UNION ALL SELECT 'segment', 'PRODUCTIVE', count(*), CAST(sum(a + p + t + d) AS BIGINT) FROM s")
 def d27(spark, sf):
-    e = filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS)
-    return e.statistics(ORDERS).select("kind", "phase", "n")
+    return filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS).statistics(ORDERS)
 
 
-@query("d28_audit", "SELECT CAST(NULL AS BIGINT) AS segment_id, CAST(NULL AS INTEGER) AS cuboid_id WHERE false")
+@query("d28_audit", "SELECT DISTINCT o_orderkey % 2 + 1 AS segment_id, CAST(3 AS INTEGER) AS cuboid_id FROM orders WHERE o_orderkey % 2 = 1")
 def d28(spark, sf):
-    return filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS).audit(ORDERS)
+    e = filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS)
+    # A cuboid's files are lost.
+    files.delete(spark, f"{e.root}/{ORDERS.name}/cuboid=3/segment=2")
+    return e.audit(ORDERS)
 
 
 @query("a30_cuboid_catalog", """
@@ -351,11 +432,13 @@ def a30(spark, sf):
 ORACLE_SQL["a30_cuboid_catalog"] = "SELECT cuboid, CAST(n AS BIGINT) AS n FROM (" + ORACLE_SQL["a30_cuboid_catalog"] + ")"
 
 
-@query("a35_system_facts", "SELECT 'sales' AS schema, CAST(2 AS BIGINT) AS segments, CAST(8 AS BIGINT) AS cnt")
+@query("a35_system_facts", ROWS_SQL + """
+SELECT 'sales' AS schema, CAST(segment AS VARCHAR) AS segment, cuboid, CAST(n AS DOUBLE) AS n FROM (SELECT segment, 'o_orderpriority:o_orderstatus' AS cuboid, a AS n FROM s UNION ALL SELECT segment, 'o_orderpriority', p FROM s UNION ALL SELECT segment, 'o_orderstatus', t FROM s UNION ALL SELECT segment, '', d FROM s)""")
 def a35(spark, sf):
     e = filled(spark, sf, ORDERS, "orders", "o_orderkey", 2, ORDER_COLUMNS)
     f = e.system_facts(ORDERS, "2024-01-01 00:00:00")
-    return f.groupBy("schema").agg(F.countDistinct("segment").alias("segments"), F.sum(F.when(F.col("OLAP_OPERATION") == "REMOVE", -1).otherwise(1)).alias("cnt"))
+    signed = F.when(F.col("OLAP_OPERATION") == "REMOVE", -F.col("count")).otherwise(F.col("count"))
+    return f.groupBy("schema", "segment", "cuboid").agg(F.sum(signed).alias("n"))
 
 
 @query("i03_stream_ingest", "SELECT event_type, count(*) AS cnt, round(sum(value), 2) AS s FROM events GROUP BY 1")
@@ -370,6 +453,22 @@ def i03(spark, sf):
     return e.query(TYPES, Query(("event_type",))).select("event_type", "cnt", F.round("value_sum", 2).alias("s"))
 
 
+@query("i04_retraction_stream", """
+WITH f AS (SELECT event_type, value, 1 AS s FROM events UNION ALL SELECT event_type, value, -1 FROM events WHERE event_id % 3 = 0)
+SELECT event_type, CAST(sum(s) AS BIGINT) AS cnt, round(sum(round(value, 2) * s), 2) AS total FROM f GROUP BY 1""")
+def i04(spark, sf):
+    from .streaming.ingest import file_stream, into_cube
+
+    e, folder = engine(spark), fresh(spark, "stream")
+    e.create(TYPES)
+    t = table(spark, sf, "events").withColumn("value", F.round("value", 2))
+    fact = lambda op: F.to_json(F.struct("event_type", "value", "user_id", F.lit(op).alias("OLAP_OPERATION"))).alias("content")
+    t.select(fact("ADD")).repartition(2).write.parquet(f"{folder}/in")
+    t.filter("event_id % 3 = 0").select(fact("REMOVE")).repartition(2).write.mode("append").parquet(f"{folder}/in")
+    into_cube(e, TYPES, file_stream(spark, f"{folder}/in", StructType().add("content", "string"), files_per_batch=1), f"{folder}/checkpoint", json_facts=True).awaitTermination()
+    return e.query(TYPES, Query(("event_type",))).select("event_type", "cnt", F.round("value_sum", 2).alias("total"))
+
+
 @query("i12_windowed_counts", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS cnt FROM events GROUP BY 1, 2")
 def i12(spark, sf):
     from .streaming.ingest import windowed
@@ -378,6 +477,8 @@ def i12(spark, sf):
     return windowed(e, "at", ["event_type"], "value", "1 day", "1 hour").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "cnt")
 
 
+
+
 # ---- facts and keys
 
 
@@ -393,12 +494,38 @@ def a04(spark, sf):
     return fact_streams.scan(spark, appended(spark, sf), "clicks", "2024-01-03", "2024-01-10 12:00:00").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("a06_merged_streams", "SELECT event_id, event_type FROM events")
+@query("a01_bad_facts", """
+SELECT CASE WHEN event_id % 9 = 0 THEN 'aside' ELSE event_type END AS what, count(*) AS cnt FROM events GROUP BY 1""")
+def a01(spark, sf):
+    content = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("{"), F.col("event_type"))).otherwise(F.to_json(F.struct("event_type", "value", "user_id"))).alias("content")
+    facts, e = table(spark, sf, "events").select(content), engine(spark)
+    e.create(TYPES)
+    e.ingest(TYPES, facts, json_facts=True, bad="skip")
+    good = e.query(TYPES, Query(("event_type",))).select(F.col("event_type").alias("what"), "cnt")
+    return good.unionByName(fact_streams.set_aside(facts).agg(F.lit("aside").alias("what"), F.count(F.lit(1)).alias("cnt")).filter("cnt > 0"))
+
+
+def as_delivered(df: DataFrame) -> DataFrame:
+    """df with each row's place in the order in which it is delivered."""
+    return keys.order_ids(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], "place").withColumn("place", F.col("place").cast("long"))
+
+
+@query("a06_merged_streams", """
+WITH f AS (SELECT event_id, event_type, ts, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS content FROM events)
+SELECT event_id, event_type, row_number() OVER (ORDER BY ts, content) AS place FROM f""")
 def a06(spark, sf):
     root = appended(spark, sf)
     parts = [fact_streams.scan(spark, root, "clicks", None, "2024-01-15"), fact_streams.scan(spark, root, "clicks", "2024-01-15", None)]
-    got = keys.merged_order(parts, ["ingest", "content"]).select(F.from_json("content", "event_id long, event_type string").alias("c"))
-    return got.select("c.event_id", "c.event_type")
+    got = as_delivered(keys.merged_order(parts, ["ingest", "content"])).select(F.from_json("content", "event_id long, event_type string").alias("c"), "place")
+    return got.select("c.event_id", "c.event_type", "place")
+
+
+@query("a08_fact_compaction", "SELECT count(*) AS cnt, 1 AS files FROM events")
+def a08(spark, sf):
+    root = appended(spark, sf)
+    fact_streams.compact(spark, root, "clicks", 1)
+    n = len([f for f in files.listing(spark, f"{root}/clicks") if f.endswith(".parquet")])
+    return fact_streams.scan(spark, root, "clicks").agg(F.count(F.lit(1)).alias("cnt"), F.lit(n).alias("files"))
 
 
 @query("a07_fact_delete", "SELECT event_type, count(*) AS cnt FROM events WHERE event_type <> 'click' GROUP BY 1")
@@ -439,9 +566,45 @@ def a20(spark, sf):
     return keys.delete(c, c.filter("c_custkey % 3 = 0"), "c_custkey")
 
 
+@query("a19_upsert_versions", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 3.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def a19b(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    new = c.filter("c_custkey % 10 = 0").withColumn("v", F.explode(F.array(F.lit(1), F.lit(3), F.lit(2)))).withColumn("c_acctbal", F.col("v").cast("double"))
+    return keys.upsert(c, new, "c_custkey", F.col("v"))
+
+
 @query("a21_row_count", "SELECT count(*) AS n FROM lineitem")
 def a21(spark, sf):
-    return table(spark, sf, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    return keys.row_count(table(spark, sf, "lineitem"))
+
+
+@query("a26_key_values", "SELECT r_name AS key, CAST(r_regionkey * 10 AS BIGINT) AS value FROM region WHERE r_regionkey <> 1")
+def a26(spark, sf):
+    kv = files.KeyValues(spark, fresh(spark, "values"))
+    for r in table(spark, sf, "region").collect():  # five rows
+        kv.set(r["r_name"], r["r_regionkey"])
+        kv.set(r["r_name"], kv.get(r["r_name"], 0) * 10)
+        if r["r_regionkey"] == 1:
+            kv.delete(r["r_name"])
+    return spark.createDataFrame(kv.items(), "key string, value long")
+
+
+@query("b07_prefix", "SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#00000001%'")
+def b07(spark, sf):
+    return keys.with_prefix(table(spark, sf, "customer"), "c_name", "Customer#00000001").select("c_custkey")
+
+
+@query("f08_listing", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 10")
+def f08(spark, sf):
+    return keys.listing(table(spark, sf, "orders"), "o_orderkey", 100, 10).select("o_orderkey", "o_totalprice")
+
+
+@query("a23_lists_and_dicts", "SELECT n_nationkey, n_regionkey = 1 AS held, CAST(n_nationkey * 2 AS VARCHAR) AS item FROM nation")
+def a23b(spark, sf):
+    n = table(spark, sf, "nation")
+    content = F.to_json(F.struct(F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit("x")).alias("tags"), F.struct((F.col("n_nationkey") * 2).alias("twice")).alias("more")))
+    parts = documents_source.entity(content)
+    return n.select("n_nationkey", documents_source.list_holds(parts["lists"], "tags", "r1").alias("held"), documents_source.dict_item(parts["dicts"], "more", "twice").alias("item"))
 
 
 @query("a23_json_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -452,9 +615,11 @@ def a23(spark, sf):
     return again.select("event_id", documents_source.attribute(documents_source.entity(F.col("props"))["attrs"], "k", "bigint").alias("k"))
 
 
-@query("a25_order_ids", "SELECT n_nationkey, row_number() OVER (ORDER BY n_name) AS id FROM nation")
+@query("a25_order_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS id FROM orders")
 def a25(spark, sf):
-    return keys.order_ids(table(spark, sf, "nation").select("n_nationkey", "n_name"), ["n_name"]).select("n_nationkey", F.col("id").cast("long").alias("id"))
+    return keys.order_ids(table(spark, sf, "orders"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("id").cast("long").alias("id"))
+
+
 
 
 # ---- search
@@ -484,8 +649,24 @@ def b13b(spark, sf):
 
 @query("b14_post_filter", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND n_chars >= 3000")
 def b14(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("n_chars") >= 3000)
-    return d.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id")
+    good = search.index(table(spark, sf, "labels"), "doc_id", "quality").filter("value = 1")
+    return search.with_posting(table(spark, sf, "documents").filter(F.col("n_chars") >= 3000), good, "doc_id").select("doc_id")
+
+
+def two_columns(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return search.index(d, "doc_id", "lang").unionByName(search.index(d.withColumn("source", F.col("source").cast("string")), "doc_id", "source"))
+
+
+@query("a41_index_drop", "SELECT 'source' AS \"column\", source AS value, count(*) AS n FROM documents WHERE source <> '' GROUP BY 2")
+def a41(spark, sf):
+    return search.dropped(two_columns(spark, sf), "lang").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a40_remove_postings", "SELECT \"column\", count(*) AS n FROM (SELECT 'lang' AS \"column\" FROM documents WHERE lang <> '' AND doc_id % 4 <> 0 UNION ALL SELECT 'source' FROM documents WHERE source <> '') GROUP BY 1")
+def a40b(spark, sf):
+    gone = table(spark, sf, "documents").filter("doc_id % 4 = 0").select(F.col("doc_id").alias("row"))
+    return search.removed(two_columns(spark, sf), gone, "lang").groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a40_replace_postings", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS value FROM documents")
@@ -562,21 +743,27 @@ def h28(spark, sf):
 
 @query("g02_intersect", "SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels WHERE toxic = 0")
 def g02(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id").intersect(table(spark, sf, "labels").filter("toxic = 0").select("doc_id"))
+    english = search.index(table(spark, sf, "documents"), "doc_id", "lang").filter("value = 'en'")
+    clean = search.index(table(spark, sf, "labels"), "doc_id", "toxic").filter("value = 0")
+    return search.intersected([english, clean]).select(F.col("row").alias("doc_id"))
 
 
-@query("g03_bag_difference", """
-WITH w AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents WHERE lang IN ('fr', 'es'))
-SELECT word, CAST(sum(CASE lang WHEN 'fr' THEN 1 ELSE -1 END) AS BIGINT) AS n FROM w WHERE word <> '' GROUP BY 1 HAVING sum(CASE lang WHEN 'fr' THEN 1 ELSE -1 END) <> 0""")
-def g03(spark, sf):
+def halves(spark, sf) -> list[DataFrame]:
+    """The word bags of the documents with even and with odd ids."""
     d = table(spark, sf, "documents")
-    return search.bag_difference(search.bag(d.filter("lang = 'fr'"), "doc_id", "text"), search.bag(d.filter("lang = 'es'"), "doc_id", "text"))
+    return [search.bag(d.filter(F.col("doc_id") % 2 == k), "doc_id", "text") for k in (0, 1)]
+
+
+@query("g03_bag_difference", f"SELECT word, CAST(sum(CASE doc_id % 2 WHEN 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1 HAVING sum(CASE doc_id % 2 WHEN 0 THEN 1 ELSE -1 END) <> 0")
+def g03(spark, sf):
+    return search.bag_difference(*halves(spark, sf))
 
 
-@query("g04_bag_sum", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents WHERE lang IN ('fr', 'es')) WHERE word <> '' GROUP BY 1")
+@query("g04_bag_sum", f"SELECT word, count(*) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1")
 def g04(spark, sf):
-    d = table(spark, sf, "documents")
-    return search.bag_sum(search.bag(d.filter("lang = 'fr'"), "doc_id", "text"), search.bag(d.filter("lang = 'es'"), "doc_id", "text"))
+    return search.bag_sum(*halves(spark, sf))
+
+
 
 
 # ---- scalar functions
@@ -605,10 +792,29 @@ def h07(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.date_format(scalar.day_start(d), "yyyy-MM-dd HH:mm:ss").alias("day"), F.date_format(scalar.previous_day(d), "yyyy-MM-dd").alias("before"), scalar.month_number(d).alias("month"), scalar.compact_day(d).alias("compact"))
 
 
-@query("h11_codecs", "SELECT n_nationkey, to_base64(encode(n_name)) AS b64, hex(encode(n_name)) AS hexed FROM nation")
+@query("h07_day_ends", "SELECT o_orderkey, strftime(date_trunc('day', o_orderdate), '%Y-%m-%d') || ' 23:59:59.999' AS day_end, strftime(o_orderdate, '%Y%m%d%H') AS hour, strftime(o_orderdate, '%Y-%m-%d') AS again FROM orders")
+def h07b(spark, sf):
+    d = F.col("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", F.date_format(scalar.day_end(d), "yyyy-MM-dd HH:mm:ss.SSS").alias("day_end"), scalar.compact_hour(d).alias("hour"), scalar.from_compact(scalar.compact_day(d)).cast("string").alias("again"))
+
+
+@query("h08_clock", """
+SELECT event_id, strftime(ts, '%Y-%m-%d %I:%M:%S') AS clock, strftime(date_trunc('day', ts) - INTERVAL 3 DAY, '%Y-%m-%d %H:%M') AS past, event_id * 1000000 AS nano, event_id AS again,
+CASE WHEN event_id % 100 > 0 THEN round(60.0 * (100 - event_id % 100) / (event_id % 100), 6) END AS left_s FROM events""")
+def h08(spark, sf):
+    ts, k = F.col("ts"), F.col("event_id")
+    return table(spark, sf, "events").select("event_id", scalar.clock12(ts).alias("clock"), F.date_format(scalar.past_date(ts, 3), "yyyy-MM-dd HH:mm").alias("past"), scalar.nanos(k).alias("nano"), scalar.millis(scalar.nanos(k)).alias("again"), F.round(scalar.left_time(k % 100, F.lit(100), F.lit(60.0)), 6).alias("left_s"))
+
+
+@query("h10_minute_floor", "SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute FROM events")
+def h10(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.date_format(scalar.minute_floor(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("minute"))
+
+
+@query("h11_codecs", "SELECT n_nationkey, to_base64(encode(n_name)) AS b64, hex(encode(n_name)) AS hexed, n_name AS again FROM nation")
 def h11(spark, sf):
     raw = F.col("n_name").cast("binary")
-    return table(spark, sf, "nation").select("n_nationkey", F.base64(raw).alias("b64"), F.hex(raw).alias("hexed"))
+    return table(spark, sf, "nation").select("n_nationkey", scalar.base64(raw).alias("b64"), scalar.hexed(raw).alias("hexed"), scalar.unbase32(scalar.base32(raw)).cast("string").alias("again"))
 
 
 @query("h13_normal_space", "SELECT doc_id, md5(regexp_replace(trim(text), '[ \\t]+', ' ', 'g')) AS h FROM documents")
@@ -627,9 +833,13 @@ def h15(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", scalar.loose_int(k).alias("n"))
 
 
-@query("h16_script", "SELECT lang, 'english' AS script, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1")
+@query("h16_script", """
+WITH t AS (SELECT CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN chr(20013) || ' ' || chr(25991) ELSE text || chr(20013) END AS t, lang FROM documents)
+SELECT lang, CASE WHEN t = '' THEN 'mixed' WHEN strpos(t, chr(20013)) = 0 THEN 'english' WHEN t = chr(20013) || ' ' || chr(25991) OR t = chr(20013) THEN 'chinese' ELSE 'mixed' END AS script, count(*) AS n FROM t GROUP BY 1, 2""")
 def h16(spark, sf):
-    return table(spark, sf, "documents").filter("text <> ''").groupBy("lang", scalar.script_of(F.col("text")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+    k, text = F.col("doc_id") % 4, F.col("text")
+    t = F.when(k == 0, "").when(k == 1, text).when(k == 2, "\u4e2d \u6587").otherwise(F.concat(text, F.lit("\u4e2d")))
+    return table(spark, sf, "documents").groupBy("lang", scalar.script_of(t).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h17_words", "SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS INTEGER) AS n FROM documents")
@@ -637,10 +847,10 @@ def h17(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(scalar.words(F.col("text"))).alias("n"))
 
 
-@query("h18_search_tag", "SELECT n_nationkey, 'destination:' || lower(r_name) || '|language:en|word:' || lower(n_name) AS tag FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '% %'")
+@query("h18_search_tag", """
+SELECT p_partkey, 'destination:' || lower(p_brand) || '|language:en' || array_to_string(list_transform(list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> ''))), lambda w: '|word:' || w), '') AS tag FROM part""")
 def h18(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.filter(~F.col("n_name").contains(" ")).join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", scalar.search_tag(F.col("r_name"), F.col("n_name")).alias("tag"))
+    return table(spark, sf, "part").select("p_partkey", scalar.search_tag(F.col("p_brand"), F.col("p_name")).alias("tag"))
 
 
 @query("h19_url_host", "SELECT regexp_extract(lower(url), '://([^/?#]*)', 1) AS host, count(*) AS cnt FROM pages GROUP BY 1")
@@ -665,16 +875,98 @@ def h24(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(scalar.dot(v, v), 6).alias("d"), F.round(scalar.norm(v), 6).alias("n"))
 
 
-@query("h30_rank_order", "SELECT n_name, row_number() OVER (ORDER BY strlen(n_name), n_name) AS place FROM nation")
+@query("h24_toward", "SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: round(x + (1 - x) * 0.25, 9))[1:3] AS v FROM embeddings")
+def h24b(spark, sf):
+    v = F.col("embedding").cast("array<double>")
+    moved = scalar.toward(v, F.array_repeat(F.lit(1.0), F.size(v)), 0.25)
+    return table(spark, sf, "embeddings").select("vec_id", F.slice(F.transform(moved, lambda x: F.round(x, 9)), 1, 3).alias("v"))
+
+
+@query("h25_sparse_cosine", "SELECT event_id, CASE WHEN value = 0 THEN 0.0 ELSE round(value / (sqrt(value * value + 1) * sqrt(5)), 9) END AS sim FROM events")
+def h25(spark, sf):
+    a, b = F.create_map(F.lit("x"), F.col("value"), F.lit("y"), F.lit(1.0)), F.create_map(F.lit("x"), F.lit(1.0), F.lit("z"), F.lit(2.0))
+    return table(spark, sf, "events").select("event_id", F.round(scalar.sparse_cosine(a, b), 9).alias("sim"))
+
+
+@query("h29_latent", "SELECT c_custkey, 8 AS terms, true AS in_range, 1.5 AS grown FROM customer")
+def h29(spark, sf):
+    v = vectors.latent(F.col("c_custkey"), 8)
+    grown = vectors.with_term(v, F.lit(3), F.lit(1.5))
+    return table(spark, sf, "customer").select("c_custkey", F.size(v).alias("terms"), F.forall(v, lambda x: (x >= 0) & (x < 1)).alias("in_range"), F.round(F.aggregate(F.zip_with(grown, v, lambda x, y: x - y), F.lit(0.0), lambda s, x: s + x), 9).alias("grown"))
+
+
+@query("h30_rank_order", "SELECT c_custkey, row_number() OVER (ORDER BY strlen(c_mktsegment), c_mktsegment, c_custkey) AS place FROM customer")
 def h30(spark, sf):
-    n = table(spark, sf, "nation").withColumn("k", scalar.rank_key(F.col("n_name")))
-    return keys.order_ids(n, ["k"], "place").select("n_name", F.col("place").cast("long").alias("place"))
+    n = table(spark, sf, "customer").withColumn("k", scalar.rank_key(F.col("c_mktsegment")))
+    return keys.order_ids(n, ["k", "c_custkey"], "place").select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query("h31_values", """
+WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN '' ELSE CAST(event_id AS VARCHAR) END AS v FROM events)
+SELECT event_id, v IS NULL OR v = '' AS empty, coalesce(TRY_CAST(v AS BIGINT), 0) AS n, v IS NOT DISTINCT FROM CAST(event_id AS VARCHAR) AS same FROM v""")
+def h31(spark, sf):
+    k = F.col("event_id")
+    v = F.when(k % 3 == 1, "").when(k % 3 == 2, k.cast("string"))
+    return table(spark, sf, "events").select("event_id", scalar.is_empty(v, "string").alias("empty"), scalar.as_kind(v, "long").alias("n"), scalar.same_value(v, k.cast("string")).alias("same"))
+
+
+@query("h32_increment", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value + 2.5 END AS more, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value - 1 END AS less FROM events")
+def h32(spark, sf):
+    v = F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("value").cast("string"))
+    return table(spark, sf, "events").select("event_id", scalar.incremented(v, 2.5).alias("more"), scalar.incremented(v, -1.0).alias("less"))
+
+
+#: Text that each SQL type reads, as what it is shown, in the order of sql.TYPES.
+CAST_SAMPLES = {
+    "CHAR": ("null", "null"), "VARCHAR": ("a", "a"), "NUMERIC": ("1.5", "1.5000000000"), "DECIMAL": ("2.25", "2.2500000000"), "BIT": ("true", "true"), "BOOLEAN": ("false", "false"), "TINYINT": ("7", "7"), "SMALLINT": ("700", "700"),
+    "INTEGER": ("70000", "70000"), "BIGINT": ("7000000000", "7000000000"), "REAL": ("0.5", "0.5"), "FLOAT": ("0.25", "0.25"), "DOUBLE": ("0.125", "0.125"), "BINARY": ("ab", "ab"), "VARBINARY": ("cd", "cd"),
+    "DATE": ("2024-01-02", "2024-01-02"), "TIME": ("10:11:12", "10:11:12"), "TIMESTAMP": ("2024-01-02 03:04:05", "2024-01-02 03:04:05"),
+}
+
+
+@query("h35_all_types", "SELECT t.type, t.shown, count(*) AS n, count(*) FILTER (t.type NOT IN ('CHAR', 'VARCHAR')) AS nulls FROM region, (VALUES " + ", ".join(f"('{k}', '{v[1]}')" for k, v in CAST_SAMPLES.items()) + ") AS t(type, shown) GROUP BY 1, 2")
+def h35b(spark, sf):
+    out = None
+    for kind, (text, _) in CAST_SAMPLES.items():
+        one = table(spark, sf, "region").select(F.lit(kind).alias("type"), sqlapi.cast_to(F.lit(text), kind).cast("string").alias("shown"), sqlapi.cast_to(F.lit("null"), kind).isNull().alias("none"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("type", "shown").agg(F.count(F.lit(1)).alias("n"), F.count_if("none").alias("nulls"))
+
+
+@query("a32_metadata", "SELECT table_name AS \"table\", column_name AS \"column\", ordinal_position AS position FROM information_schema.columns WHERE table_name IN ('nation', 'region')")
+def a32(spark, sf):
+    for name in ("nation", "region"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    got = sqlapi.connect(spark, "cube://here/sales").metadata()
+    return got.filter(F.col("table").isin("nation", "region")).select("table", "column", "position")
+
+
+@query("j03_cursor", "SELECT l_returnflag, count(*) AS cnt FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
+def j03(spark, sf):
+    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem_rows")
+    c = sqlapi.connect(spark, "cube://here/sales").cursor().execute("SELECT l_returnflag, count(*) AS cnt FROM lineitem_rows WHERE l_quantity > ? GROUP BY 1", [10])
+    return spark.createDataFrame(c.fetchall(), "l_returnflag string, cnt long")
+
+
+@query("j06_result_metadata", "SELECT column_name AS name, data_type AS type, ordinal_position AS position FROM information_schema.columns WHERE table_name = 'orders' AND column_name IN ('o_orderkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate')")
+def j06(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("orders_rows")
+    c = sqlapi.connect(spark, "cube://here/sales?max_rows=5").cursor().execute("SELECT * FROM orders_rows")
+    rows = [(d.name, d.type, d.position) for d in c.description if d.name in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")]
+    return spark.createDataFrame(rows, "name string, type string, position int")
+
+
+@query("f02_entity_first", "SELECT * FROM (VALUES ('l_linestatus', 1), ('OLAP_YEAR', 2), ('OLAP_MONTH', 3), ('l_returnflag', 4), ('a_flag', 5)) AS t(dim, place)")
+def f02(spark, sf):
+    # A rule of planning: it reads no rows.
+    dims = LINEITEM.order(["a_flag", "l_returnflag", "OLAP_MONTH", "OLAP_YEAR", "l_linestatus"], first="l_linestatus")
+    return spark.createDataFrame([(d, k + 1) for k, d in enumerate(dims)], "dim string, place int")
 
 
-@query("h35_casts", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS BIGINT) AS n, CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(event_id AS VARCHAR) END AS t FROM events")
-def h35(spark, sf):
-    v = F.when(F.col("event_id") % 3 == 0, "null").otherwise(F.col("event_id").cast("string"))
-    return table(spark, sf, "events").select("event_id", sqlapi.cast_to(v, "BIGINT").alias("n"), sqlapi.cast_to(v, "VARCHAR").alias("t"))
+@query("h06_time_in_groups", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {k})" for k, x in enumerate(("event_type", *LEVELS), 1)) + ") AS t(dim, place)")
+def h06(spark, sf):
+    dims = timeplan.replace_time(EVENTS.dimensions, EVENTS.time)
+    return spark.createDataFrame([(d, k + 1) for k, d in enumerate(dims)], "dim string, place int")
 
 
 @query("h37_levels", "SELECT * FROM (VALUES (1, 0), (499999, 0), (2499999, 0), (2500001, 1), (12500001, 2), (62500001, 3)) AS t(n, level)".replace("SELECT *", "SELECT CAST(n AS BIGINT) AS n, level"))

@@ -17,11 +17,29 @@ def needed(spec: CubeSpec) -> list[str]:
     return list(dict.fromkeys([*spec.dimensions, OPERATION, *(m.name for m in spec.measures)]))
 
 
-def from_json(df: DataFrame, spec: CubeSpec, content: str = "content") -> DataFrame:
-    """Facts' needed keys as texts; other keys are never built. What isn't JSON gives nulls, so defaults apply."""
+def from_json(df: DataFrame, spec: CubeSpec, content: str = "content", bad: str = "null") -> DataFrame:
+    """Facts' needed keys as texts; other keys are never built.
+
+    bad: what a text that isn't a JSON object does: `null` gives nulls, so defaults apply; `skip` leaves it out (see
+    set_aside); `fail` makes whoever reads it fail.
+    """
     names = needed(spec)
     schema = StructType([StructField(n, StringType()) for n in names])
-    return df.select(F.from_json(content, schema).alias("_f")).select(*[F.col("_f").getField(n).alias(n) for n in names])
+    rows = df.filter(is_object(F.col(content))) if bad == "skip" else df
+    if bad == "fail":
+        checked = F.when(is_object(F.col(content)), F.col(content)).otherwise(F.raise_error(F.concat(F.lit("not a JSON fact: "), F.substring(F.coalesce(content, F.lit("null")), 1, 200))).cast("string"))
+        rows = df.withColumn(content, checked)
+    return rows.select(F.from_json(content, schema).alias("_f")).select(*[F.col("_f").getField(n).alias(n) for n in names])
+
+
+def is_object(content: Column) -> Column:
+    """Whether a text is one JSON object."""
+    return F.coalesce(F.ltrim(content).startswith("{") & F.try_parse_json(content).isNotNull(), F.lit(False))
+
+
+def set_aside(df: DataFrame, content: str = "content") -> DataFrame:
+    """The rows whose text is no JSON object."""
+    return df.filter(~is_object(F.col(content)))
 
 
 def to_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -21,11 +21,11 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, kind: str =
     return reader.format(kind).load(path)
 
 
-def into_cube(engine: CubeEngine, spec: CubeSpec, stream: DataFrame, checkpoint: str, json_facts: bool = False, name: str = "stream", once: bool = True) -> StreamingQuery:
-    """Each micro-batch becomes one segment. The batch id goes with it, so a replayed batch is counted once."""
+def into_cube(engine: CubeEngine, spec: CubeSpec, stream: DataFrame, checkpoint: str, json_facts: bool = False, name: str = "stream", once: bool = True, bad: str = "fail") -> StreamingQuery:
+    """Each micro-batch becomes one segment. The batch id goes with it, so a replayed batch is counted once. A batch whose facts cancel adds nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        engine.ingest(spec, df, json_facts=json_facts, batch=f"{name}-{number}")
+        engine.ingest(spec, df, json_facts=json_facts, batch=f"{name}-{number}", bad=bad, empty="skip")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

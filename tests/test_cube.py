@@ -1,10 +1,13 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from lattika.engine import CubeEngine, Query
-from lattika.operators import cube, states
+from lattika.engine import CubeEngine, EmptyBatch, Query
+from lattika.operators import cube, keys, states
 from lattika.plans.spec import CubeSpec
 from lattika.scratch import fresh
+from lattika.sources import facts as fact_streams
 
 SPEC = CubeSpec.parse("s.t", "k:string|c:string", "m:double,u.distinct:long")
 
@@ -77,8 +80,64 @@ def test_empty_segment_and_query_without_segments(spark):
     e = CubeEngine(spark, fresh(spark, "test"))
     e.create(SPEC)
     assert e.query(SPEC, Query(("k",))).count() == 0
-    e.ingest(SPEC, facts(spark, []))
-    assert e.query(SPEC, Query(("k",))).count() == 0
+    with pytest.raises(EmptyBatch):
+        e.ingest(SPEC, facts(spark, []))
+    with pytest.raises(EmptyBatch):
+        e.ingest(SPEC, facts(spark, [("k", "c", 1.0, 1, "ADD"), ("k", "c", 1.0, 1, "REMOVE")]))
+    assert e.ingest(SPEC, facts(spark, []), empty="skip") is None
+    assert e.query(SPEC, Query(("k",))).count() == 0 and e.segments(SPEC).count() == 0
+
+
+def test_two_writers_both_count(spark):
+    e = CubeEngine(spark, fresh(spark, "test"))
+    e.create(SPEC)
+    one, two = CubeEngine(spark, e.root), CubeEngine(spark, e.root)
+    stale = one._load(SPEC.name)
+    assert two.ingest(SPEC, facts(spark, [("a", "c", 1.0, 1, "ADD")])) == 1
+    # The first writer's view is old: its manifest isn't taken, its change is applied to the new one.
+    assert not one._save(SPEC.name, *stale)
+    assert one.ingest(SPEC, facts(spark, [("b", "c", 2.0, 1, "ADD")])) == 2
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: CubeEngine(spark, e.root).ingest(SPEC, facts(spark, [(f"t{k}", "c", 1.0, 1, "ADD")]), batch=f"b{k % 2}"), range(3)))
+    got = {r["k"]: r["cnt"] for r in e.query(SPEC, Query(("k",))).collect()}
+    assert {"a", "b"} <= set(got) and len(got) == 4 and set(got.values()) == {1}
+    assert sorted(r["segment_id"] for r in e.segments(SPEC).collect())[:2] == [1, 2] and e.audit(SPEC).count() == 0
+
+
+def test_bad_facts(spark):
+    e = CubeEngine(spark, fresh(spark, "test"))
+    e.create(SPEC)
+    rows = spark.createDataFrame([('{"k": "a", "v": 1}',), ("not json",), ("[1]",), (None,)], "content string")
+    with pytest.raises(Exception, match="not a JSON fact"):
+        e.ingest(SPEC, rows, json_facts=True)
+    assert e.segments(SPEC).count() == 0
+    e.ingest(SPEC, rows, json_facts=True, bad="skip")
+    assert [(r["k"], r["cnt"]) for r in e.query(SPEC, Query(("k",))).collect()] == [("a", 1)]
+    e.ingest(SPEC, rows, json_facts=True, bad="null")
+    assert {r["k"]: r["cnt"] for r in e.query(SPEC, Query(("k",))).collect()} == {"a": 2, None: 3}
+    assert fact_streams.set_aside(rows).count() == 3
+
+
+def test_check_of_segments(spark):
+    e = CubeEngine(spark, fresh(spark, "test"))
+    e.create(SPEC)
+    e.ingest(SPEC, facts(spark, [("a", "c", 1.0, 1, "ADD")]))
+    assert e.scan(SPEC, ("k",), [1], check=True).count() == 1
+    with pytest.raises(ValueError, match="aren't live"):
+        e.scan(SPEC, ("k",), [1, 2], check=True)
+    assert e.operate("info", SPEC).count() == 1 and not e.running("none")
+    with pytest.raises(KeyError):
+        e.operate("dance", SPEC)
+
+
+def test_order_ids_are_exact_on_millions_of_rows(spark):
+    df = spark.range(3_000_000).select((F.xxhash64("id") % 1_000_000).alias("v"), F.repeat(F.col("id").cast("string"), 3).alias("payload"), "id").repartition(13)
+    got = keys.order_ids(df, ["v", "id"], "n")
+    n, distinct, lo, hi = got.agg(F.count(F.lit(1)), F.countDistinct("n"), F.min("n"), F.max("n")).first()
+    assert (n, distinct, lo, hi) == (3_000_000, 3_000_000, 1, 3_000_000)
+    # In the order asked for: the values of every thousandth id rise.
+    some = [r["v"] for r in got.filter("n % 1000 = 0").orderBy("n").collect()]
+    assert some == sorted(some)
 
 
 def test_staged_equals_grouping_sets(spark, sf):
