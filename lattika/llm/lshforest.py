@@ -8,8 +8,10 @@
    last, so no region is too large for a task.
 3. In regions with more members than the neighbour window reaches, or that cross a partition's end, members
    that the candidates haven't yet joined are compared by signature in blocks, so that none is left out.
-4. Documents joined by candidates form families. Their shingle sets meet once per pair of blocks of a
-   family, where the exact ratio of every pair that signatures allow is computed; links give components.
+4. Documents joined by candidates form families, cut into blocks. Blocks meet their neighbours in a ring first,
+   so each text is copied twice however large its family; the exact ratio of full sets decides every pair
+   that isn't joined yet. Only families that this leaves in several components, and that have blocks which
+   haven't met, meet in all other pairs of blocks, where pairs of different components are compared.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .components import Union, components
 
 WORDS, PERCENT = 5, 85
 """Words a shingle; documents link when 100 * intersection >= PERCENT * union."""
-VALUES, NEAR, BLOCK = 64, 2, 512
-"""Values a signature, neighbours looked at on either side, and members a block."""
+VALUES, NEAR, BLOCK, HELD = 64, 2, 512, 1 << 21
+"""Values a signature, neighbours looked at on either side, members a block, and shingles a block (16 MB), but for single larger sets."""
 DEEP, NO_REGION, NO_AGREEMENT = 4, 1e-5, 2.5e-6
 """The longest of the least prefixes, and the chances at most that a pair at the threshold shares no region
 and that it has fewer equal values than a candidate needs."""
@@ -246,60 +248,113 @@ def left_over(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Sc
 # ---- exact links
 
 
-def confirmed(docs: DataFrame, families: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join the documents of each family as all its links would, from full sets.
+def linked(sets: list[np.ndarray], ids: list[int], may: np.ndarray, union: Union, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets, as many as join what all links join. may[x, y]: whether a pair is to be compared here.
 
-    docs: id and text of representatives; families: node and component.
+    The sizes' ratio bounds the similarity; every other pair that isn't joined yet is counted out.
     """
-    agree = shape(percent)[2]
-    size = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.join(families.join(size, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "n"), "id")
-    rows = blocks_of(rows, "family", "n", "id").select("family", "p", "q", "own", "id", "text")
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q", "id")
+    out: list[tuple[int, int]] = []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    for x in range(len(sets)):
+        others = x + 1 + np.flatnonzero(may[x, x + 1 :])
+        small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+        others = others[100 * small >= percent * large].tolist()
+        root = union.find(ids[x])
+        others = [y for y in others if union.find(ids[y]) != root]
+        if not others:
+            continue
+        mine = flat[first[x] : first[x] + sizes[x]]
+        mark[mine] = True
+        for y in others:
+            if union.find(ids[y]) == union.find(ids[x]):
+                continue
+            both = int(np.count_nonzero(mark[flat[first[y] : first[y] + sizes[y]]]))
+            if 100 * both >= percent * (sizes[x] + sizes[y] - both) and union.join(ids[x], ids[y]):
+                out.append((ids[x], ids[y]))
+        mark[mine] = False
+    return out
+
+
+def meeting(rows: DataFrame, near: bool, percent: int) -> DataFrame:
+    """Links (a, b) from rows (family, p, q, own, id, c, text) of pairs of blocks; near: pairs within block p count too. c: a component known already."""
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q", "id")
+
+    def done(key, own, ids, known, sets):
+        own, union = np.array(own), Union()
+        for i, c in zip(ids, known, strict=True):
+            if c is not None:
+                union.join(i, c)
+        may = own[:, None] != own[None, :]
+        if near:
+            may |= (own == key[1])[:, None] & (own == key[1])[None, :]
+        out = linked(sets, ids, may, union, percent)
+        return pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        for group in grouped(batches, [0, 1, 2]):
-            out: list[tuple[int, int]] = []
-            sets = [s for a in range(0, len(group), 64) for s in shingle_sets([g[5] for g in group[a : a + 64]])]
-            own = np.array([g[3] for g in group])
-            across = group[0][1] != group[0][2]
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            sig = np.stack([signature(s) for s in sets])
-            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            first = np.cumsum(sizes) - sizes
-            mark = np.zeros(int(flat.max()) + 1, bool)
-            union = Union()
-            for x in range(len(group)):
-                others = x + 1 + np.flatnonzero(own[x + 1 :] != own[x]) if across else np.arange(x + 1, len(group))
-                others = allowed(sig, x, others, agree)
-                root = union.find(x)
-                others = others[[union.find(y) != root for y in others.tolist()]] if len(others) else others
-                if not len(others):
-                    continue
-                mine = flat[first[x] : first[x] + sizes[x]]
-                mark[mine] = True
-                for y in others.tolist():
-                    both = int(np.count_nonzero(mark[flat[first[y] : first[y] + sizes[y]]]))
-                    if 100 * both >= percent * (sizes[x] + sizes[y] - both) and union.join(x, y):
-                        out.append((group[x][4], group[y][4]))
-                mark[mine] = False
-            yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        now, own, ids, known, sets = None, [], [], [], []
+        for batch in in_parts(batches):
+            family, p, q, o, i, c, texts = (x.to_pylist() for x in batch.columns)
+            for key, o_, i_, c_, shingles in zip(zip(family, p, q, strict=True), o, i, c, shingle_sets(texts), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield done(now, own, ids, known, sets)
+                    now, own, ids, known, sets = key, [], [], [], []
+                own.append(o_)
+                ids.append(i_)
+                known.append(c_)
+                sets.append(shingles)
+        if now is not None:
+            yield done(now, own, ids, known, sets)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+def in_blocks(docs: DataFrame, families: DataFrame, sizes: DataFrame, block: int, held: int) -> DataFrame:
+    """The families' documents (family, id, text) with the number of their family's blocks and their own."""
+    f = families.join(sizes.select(F.col("id").alias("node"), "n_shingles"), "node")
+    n = f.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / held)).cast("int").alias("blocks"))
+    rows = docs.join(families.join(n, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "blocks"), "id")
+    return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def confirmed(docs: DataFrame, families: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int = PERCENT, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """Links (a, b) that join the documents of each family as all its links would, from full sets.
+
+    docs: id and text of representatives; families: node and component; sizes: id and n_shingles.
+    """
+    rows = in_blocks(docs, families, sizes, block, held)
+    ring = rows.withColumn("p", F.explode(F.when(F.col("blocks") > 1, F.array("own", F.pmod(F.col("own") - 1, F.col("blocks")))).otherwise(F.array("own"))))
+    ring = ring.withColumn("q", F.pmod(F.col("p") + 1, F.col("blocks"))).select("family", "p", "q", "own", "id", F.lit(None).cast("long").alias("c"), "text")
+    links = scratch.cut(meeting(ring, True, percent), "ring")
+    # With up to three blocks every pair of them has met.
+    large = rows.filter("blocks > 3").select("family", "id")
+    found = components(links, scratch)
+    c = large.join(found.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
+    open_ = scratch.cut(c.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("family"), "open")
+    if open_.isEmpty():
+        return links
+    far = rows.join(open_, "family").join(c.select("id", "c"), "id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    gap = F.pmod(F.col("own") - F.col("_o"), F.col("blocks"))
+    far = far.filter((gap > 1) & (gap < F.col("blocks") - 1)).select("family", F.least("own", "_o").alias("p"), F.greatest("own", "_o").alias("q"), "own", "id", "c", "text")
+    return links.unionByName(meeting(far, False, percent))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     component_id is the smallest doc_id that links lead to. Empty sets (null or blank texts) link with
     nothing; a row without doc_id has no component and is kept; rows that repeat a doc_id are one node and
-    all are kept or not together; an empty table gives an empty result.
+    all are kept or not together; very long texts count whole; an empty table gives an
+    empty result; other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession, "forest")
     trees, depth, agree = shape(percent)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = scratch.cut(signed(d), "signed")
-    reps = scratch.cut(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "reps")
+    reps = scratch.cut(rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.max("n_shingles").alias("n_shingles")), "reps")
     sorted_ = entries(reps, trees, depth).repartitionByRange(shuffle_partitions(docs.sparkSession), "key", "id").sortWithinPartitions("key", "id")
     near = scratch.cut(sorted_.mapInArrow(lambda batches: neighbours(batches, depth), "a long, b long, region binary"), "near")
     pairs = near.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -311,7 +366,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     # The texts of the families' representatives, each once however often its row is repeated.
     wanted = reps.select("id").join(families.select(F.col("node").alias("id")), "id", "left_semi")
     texts = d.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct()
-    links = scratch.cut(confirmed(texts, families, percent), "links")
+    links = scratch.cut(confirmed(texts, families, reps.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), scratch, percent, block), "links")
     joined = components(links, scratch)
     byset = reps.select("digest", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
     out = rows.join(byset, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))

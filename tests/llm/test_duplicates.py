@@ -62,10 +62,11 @@ def corpus(n=60, seed=1):
     return rows
 
 
-def test_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [2, 512])
+def test_classes_equal_brute_force(spark, block):
     rows = corpus()
     docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, digest string, sig int").repartition(5)
-    got = {r["doc_id"]: tuple(r)[1:] for r in lshforest.classes(docs).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in lshforest.classes(docs, block=block).collect()}
     sets = brute_sets(rows)
     ids = sorted(sets)
     links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -151,3 +152,41 @@ def test_vectors_without_id_join_but_name_nothing(spark):
     named = {r[0]: r[1:] for r in got if r[0] is not None}
     assert named == {5: (1, 5, True), 9: (1, 7, False), 7: (1, 7, True)}  # 9 and 7 are joined by the vector without an id
     assert [r for r in got if r[0] is None] == [(None, 1, None, True)] * 3 + [(None, 2, None, True)]
+
+
+def test_large_families_that_fall_apart(spark):
+    # Versions of one text: neighbours in a chain link, others are candidates only; some chains are cut.
+    rng, rows = random.Random(6), []
+    base = [f"w{i}" for i in range(300)]
+    for k in range(60):
+        if k % 20 == 0:
+            base = base[:240] + [f"v{k}-{i}" for i in range(60)]
+        base = list(base)
+        base[rng.randrange(240)] = f"x{k}"
+        rows.append((k, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = brute_sets(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = smallest(sorted(sets), links)
+    for block in (3, 8, 512):
+        assert {r["doc_id"]: r["component_id"] for r in lshforest.classes(docs, block=block).collect()} == want
+    assert 1 < len(set(want.values())) < 60
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"w{k % 50_021}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text of six words here")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in lshforest.classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_sql_of_duplicates(spark, sf):
+    import duckdb
+
+    from lattika.llm.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in ("op3_lsh_forest", "op6_pca_tiles"):
+        rel = c.sql(ORACLE_SQL[name])
+        assert sorted(map(tuple, QUERIES[name](spark, sf).select(*rel.columns).collect())) == sorted(rel.fetchall())
