@@ -312,12 +312,11 @@ def meeting(rows: DataFrame, near: bool, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def in_blocks(docs: DataFrame, families: DataFrame, sizes: DataFrame, block: int, held: int) -> DataFrame:
-    """The families' documents (family, id, text) with the number of their family's blocks and their own."""
-    f = families.join(sizes.select(F.col("id").alias("node"), "n_shingles"), "node")
-    n = f.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / held)).cast("int").alias("blocks"))
-    rows = docs.join(families.join(n, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), "blocks"), "id")
-    return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def in_blocks(families: DataFrame, sizes: DataFrame, block: int, held: int) -> DataFrame:
+    """The families' members (family, id) with the number of their family's blocks and their own."""
+    f = families.join(sizes.select(F.col("id").alias("node"), "n_shingles"), "node").select(F.col("component").alias("family"), F.col("node").alias("id"), "n_shingles")
+    n = f.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / held)).cast("int").alias("blocks"))
+    return f.join(n, "family").select("family", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
 
 
 def confirmed(docs: DataFrame, families: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int = PERCENT, block: int = BLOCK, held: int = HELD) -> DataFrame:
@@ -325,12 +324,13 @@ def confirmed(docs: DataFrame, families: DataFrame, sizes: DataFrame, scratch: S
 
     docs: id and text of representatives; families: node and component; sizes: id and n_shingles.
     """
-    rows = in_blocks(docs, families, sizes, block, held)
+    placed = scratch.cut(in_blocks(families, sizes, block, held), "blocks")
+    rows = docs.join(placed, "id")
     ring = rows.withColumn("p", F.explode(F.when(F.col("blocks") > 1, F.array("own", F.pmod(F.col("own") - 1, F.col("blocks")))).otherwise(F.array("own"))))
     ring = ring.withColumn("q", F.pmod(F.col("p") + 1, F.col("blocks"))).select("family", "p", "q", "own", "id", F.lit(None).cast("long").alias("c"), "text")
     links = scratch.cut(meeting(ring, True, percent), "ring")
     # With up to three blocks every pair of them has met.
-    large = rows.filter("blocks > 3").select("family", "id")
+    large = placed.filter("blocks > 3").select("family", "id")
     found = components(links, scratch)
     c = large.join(found.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
     open_ = scratch.cut(c.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("family"), "open")
