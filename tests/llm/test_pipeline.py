@@ -18,7 +18,7 @@ def test_stages(spark, sf):
             predicted = toxicity.judged(before, read_table(spark, sf, "labels")).filter("predicted = 0").count()
             assert sizes[-1] == predicted
         if name == "near_dedup":
-            assert sizes[-1] == lshforest.classes(before).filter("kept").count()
+            assert sizes[-1] == lshforest.classes(before, percent=corpus_pipeline.NEAR_PERCENT).filter("kept").count()
         if name == "mixing":
             assert sorted(r["doc_id"] for r in docs.select("doc_id").collect()) == sorted(r["doc_id"] for r in before.select("doc_id").collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
