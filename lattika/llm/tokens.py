@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from itertools import repeat
 
 import numpy as np
 
@@ -98,11 +97,12 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        # Sorted hashes of the words seen, and the slot of each: 16 bytes a word.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         found = self.library.encode_batch_fast(words, add_special_tokens=False)
         ids = [x.ids for x in found]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -114,7 +114,6 @@ class Encoder:
         self.start[self.used : self.used + len(ids)] = self.filled + np.cumsum(n) - n
         self.size[self.used : self.used + len(ids)] = n
         self.flat[self.filled : self.filled + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        self.slot.update(zip(hashes, range(self.used, self.used + len(ids)), strict=True))
         self.used, self.filled = self.used + len(ids), self.filled + total
 
     def whole(self, text: str) -> np.ndarray:
@@ -161,13 +160,17 @@ class Encoder:
         known, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if self.used + len(known) > CACHED:
             self.clear()
-        keys = known.tolist()
-        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(slots < 0)
+        place = np.searchsorted(self.keys, known)
+        seen = place < len(self.keys)
+        seen[seen] = self.keys[place[seen]] == known[seen]
+        slots = np.empty(len(known), np.int64)
+        slots[seen] = self.slots[place[seen]]
+        new = np.flatnonzero(~seen)
         if len(new):
             a, b = start[where[new]].tolist(), end[where[new]].tolist()
             slots[new] = np.arange(self.used, self.used + len(new))
-            self.learn([keys[k] for k in new.tolist()], [joined[x:y] for x, y in zip(a, b, strict=True)])
+            self.learn([joined[x:y] for x, y in zip(a, b, strict=True)])
+            self.keys, self.slots = np.insert(self.keys, place[new], known[new]), np.insert(self.slots, place[new], slots[new])
         at = slots[back]
         n = self.size[at]
         total = np.concatenate([[0], np.cumsum(n)])
