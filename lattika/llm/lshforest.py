@@ -223,7 +223,12 @@ def left_over(members: DataFrame, found: DataFrame, reps: DataFrame, scratch: Sc
     m = members.select(F.col("a").alias("id"), "region").distinct().join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     m = scratch.cut(m.select("region", "id", F.coalesce("component", "id").alias("c")), "members")
     split = m.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("region", "n")
-    rows = blocks_of(m.join(split, "region").join(reps.select("id", "sig"), "id"), "region", "n", "id")
+    split = scratch.cut(split, "split")
+    # Regions with more than a quarter of a partition's fair share of the rows: at most 4 a partition, so they may be broadcast.
+    share = m.count() / (4 * shuffle_partitions(m.sparkSession))
+    large = F.broadcast(split.filter(F.col("n") > share))
+    small = m.join(large.select("region"), "region", "left_anti").join(split.filter(F.col("n") <= share), "region")
+    rows = blocks_of(m.join(large, "region").unionByName(small).join(reps.select("id", "sig"), "id"), "region", "n", "id")
     rows = rows.select("region", "p", "q", "own", "id", "c", "sig").repartition(shuffle_partitions(m.sparkSession), "region", "p", "q").sortWithinPartitions("region", "p", "q", "id")
 
     def run(batches):
