@@ -177,7 +177,8 @@ class CubeEngine:
 
     def _schema(self, spec: CubeSpec, cuboid: Cuboid, kinds: dict[str, str]) -> StructType:
         dims = [StructField(d, StringType()) if d not in kinds else StructType.fromDDL(f"`{d}` {kinds[d]}")[0] for d in cuboid.dims]
-        stats = [StructField(c, LongType() if c == states.CNT else BinaryType() if c.endswith("_hll") else DoubleType()) for c in states.columns(spec)]
+        longs = {states.CNT, *[c for m in spec.stats for c in states.sum_columns(m)[:-1]]}
+        stats = [StructField(c, LongType() if c in longs else BinaryType() if c.endswith("_hll") else DoubleType()) for c in states.columns(spec)]
         return StructType([*dims, *stats])
 
     def _write(self, df: DataFrame, spec: CubeSpec, cuboid: Cuboid, segment: int) -> None:
@@ -201,7 +202,8 @@ class CubeEngine:
         if not segments:
             return self.spark.createDataFrame([], StructType([*schema, StructField("segment", LongType())]))
         # The base path makes `segment` a partition column: filters on it prune folders.
-        return self.spark.read.schema(StructType([*schema, StructField("segment", LongType())])).option("basePath", base).parquet(*[self._folder(spec, cuboid, s) for s in segments])
+        got = self.spark.read.schema(StructType([*schema, StructField("segment", LongType())])).option("basePath", base).parquet(*[self._folder(spec, cuboid, s) for s in segments])
+        return states.with_digits(got, spec)
 
     # ---- ingest
 

@@ -11,6 +11,8 @@ from ..plans.spec import COUNT, OPERATION, CubeSpec
 
 SKETCH_BITS = 14
 SIGN, CNT = "_sign", "cnt"
+DIGIT_BITS, LOWEST, DIGITS = 28, -40, 6
+"""A sum's digits: six of 28 bits, the last in units of 2^-40, so values below 2^128 (any float's) have their places."""
 
 
 def error_rate(bits: int = SKETCH_BITS) -> float:
@@ -43,12 +45,54 @@ def projected(facts: DataFrame, spec: CubeSpec, raw: bool = True) -> DataFrame:
     return facts.select(*[c.alias(n) for n, c in out.items()])
 
 
+def sum_columns(m: str) -> list[str]:
+    """The columns that hold a sum exactly: its digits, the greatest first, and what has no place in them."""
+    return [*[f"{m}_sum{k}" for k in range(DIGITS)], f"{m}_rest"]
+
+
+def digits(v: Column) -> list[Column]:
+    """A double as signed digits of at most 2^27 (the first 2^28) and the rest, without rounding.
+
+    The rest is what lies below 2^-41, and numbers of 2^128 and more, infinities and NaN as a whole. Digits of -v are
+    those of v negated.
+    """
+    fits = F.abs(v) < F.lit(2.0**128)
+    x = F.when(fits, v).otherwise(F.lit(0.0))
+    at = [F.rint(x * F.lit(2.0 ** -(LOWEST + DIGIT_BITS * (DIGITS - 1 - k)))) for k in range(DIGITS)]
+    own = [at[0], *[b - a * F.lit(2.0**DIGIT_BITS) for a, b in zip(at, at[1:], strict=False)]]
+    return [*[d.cast("long") for d in own], F.when(fits, v - at[-1] * F.lit(2.0**LOWEST)).otherwise(v)]
+
+
+def total(sums: list[Column]) -> Column:
+    """The double of summed digits and rest. Carries are taken first: then only the last places round, whatever cancelled."""
+    *places, value = sums
+    carry = F.lit(0).cast("long")
+    for k, d in enumerate(reversed(places)):
+        d = d + carry
+        carry = F.shiftright(d + F.lit(1 << DIGIT_BITS - 1), DIGIT_BITS)
+        d = d if k == DIGITS - 1 else d - carry * F.lit(1 << DIGIT_BITS)
+        value = value + d.cast("double") * F.lit(2.0 ** (LOWEST + DIGIT_BITS * k))
+    return value
+
+
+def summed(m: str, parts: list[Column]) -> list[Column]:
+    """Aggregates of a sum: its double, digits and rest. Long sums have no order, so what was added and removed cancels; 2^35 facts of a cell fit."""
+    sums = [F.sum(p) for p in parts]
+    return [total(sums).alias(f"{m}_sum"), *[s.alias(c) for s, c in zip(sums, sum_columns(m), strict=True)]]
+
+
+def with_digits(states: DataFrame, spec: CubeSpec) -> DataFrame:
+    """Stored states with digits for sums that were written without them."""
+    lacking = {c: F.coalesce(F.col(c), d) for m in spec.stats for c, d in zip(sum_columns(m), digits(F.col(f"{m}_sum")), strict=True)}
+    return states.withColumns(lacking) if lacking else states
+
+
 def partial(spec: CubeSpec) -> list[Column]:
     """Aggregates of projected facts. Removed facts still feed min, max and sketches: those can't be taken back."""
     out = [F.sum(SIGN).cast("long").alias(CNT)]
     for m in spec.stats:
         v = F.col(f"v_{m}")
-        out += [F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max"), F.sum(v * F.col(SIGN)).alias(f"{m}_sum")]
+        out += [F.min(v).alias(f"{m}_min"), F.max(v).alias(f"{m}_max"), *summed(m, digits(v * F.col(SIGN)))]
     return out + [F.hll_sketch_agg(f"d_{m}", F.lit(SKETCH_BITS)).alias(f"{m}_hll") for m in spec.distincts]
 
 
@@ -56,17 +100,17 @@ def merge(spec: CubeSpec) -> list[Column]:
     """Aggregates of states, of any number of segments or of a finer cuboid."""
     out = [F.sum(CNT).cast("long").alias(CNT)]
     for m in spec.stats:
-        out += [F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max"), F.sum(f"{m}_sum").alias(f"{m}_sum")]
+        out += [F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max"), *summed(m, [F.col(c) for c in sum_columns(m)])]
     return out + [F.hll_union_agg(f"{m}_hll").alias(f"{m}_hll") for m in spec.distincts]
 
 
 def valid(spec: CubeSpec) -> Column:
-    """Whether a cell still stands for facts: a count or a sum that isn't 0. Sums are rounded: doubles needn't cancel exactly."""
+    """Whether a cell still stands for facts: a count or a sum that isn't 0. Sums are rounded: 0.1 + 0.2 - 0.3 isn't 0 in doubles."""
     return reduce(lambda a, m: a | (F.round(f"{m}_sum", 6) != 0), spec.stats, F.col(CNT) != 0)
 
 
 def columns(spec: CubeSpec) -> list[str]:
-    return [CNT, *[f"{m}_{s}" for m in spec.stats for s in ("min", "max", "sum")], *[f"{m}_hll" for m in spec.distincts]]
+    return [CNT, *[c for m in spec.stats for c in (*[f"{m}_{s}" for s in ("min", "max", "sum")], *sum_columns(m))], *[f"{m}_hll" for m in spec.distincts]]
 
 
 def finished(spec: CubeSpec, average: bool = True) -> list[Column]:

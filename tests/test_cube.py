@@ -1,3 +1,4 @@
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -145,3 +146,44 @@ def test_staged_equals_grouping_sets(spark, sf):
 
     a, b = (sorted(map(str, QUERIES[n](spark, sf).collect())) for n in ("d11_cube_staged", "d11_cube_grouping_sets"))
     assert a == b
+
+
+def test_what_was_added_and_removed_cancels_in_any_order(spark):
+    big = [1e16, 1.0, 0.1, 3e30, -7.7e-9, 123456.78, 1e11]
+    rows = [("a", "x", v, 1, op) for op in ("ADD", "REMOVE") for v in big] + [("b", "x", v, 1, "ADD") for v in big] + [("b", "x", v, 1, "REMOVE") for v in big[:4]]
+    rows += [("c", "x", 1e16, 1, "ADD"), ("c", "x", 2.0, 1, "ADD"), ("c", "x", 1e16, 1, "REMOVE"), ("c", "x", 1.0, 1, "REMOVE")]
+    for parts in (1, 5):
+        base = cube.base(facts(spark, rows).repartition(parts), SPEC)
+        got = {r["k"]: r for r in cube.rollup(base, ["k"], SPEC).filter(states.valid(SPEC)).collect()}
+        assert set(got) == {"b", "c"}
+        assert (got["b"]["cnt"], got["b"]["m_sum"]) == (3, math.fsum(big[4:]))
+        assert (got["c"]["cnt"], got["c"]["m_sum"]) == (0, 1.0)
+    e = CubeEngine(spark, fresh(spark, "test"))
+    e.create(SPEC)
+    # The facts of one segment are removed by another one, in another order.
+    e.ingest(SPEC, facts(spark, [("a", "x", v, 1, "ADD") for v in big]))
+    e.ingest(SPEC, facts(spark, [("a", "x", v, 1, "REMOVE") for v in reversed(big)]))
+    assert e.query(SPEC, Query(("k",))).count() == 0 and e.query(SPEC, Query(())).count() == 0
+    e.compact(SPEC, [1, 2])
+    assert e.query(SPEC, Query(("k",))).count() == 0 and e.view(SPEC).count() == 0
+
+
+def test_sums_of_odd_values(spark):
+    inf, nan = math.inf, math.nan
+    groups = {"a": [0.1] * 10, "b": [2.0**127, 2.0**-60, -(2.0**127)], "c": [inf, 1.0], "d": [inf, -inf], "e": [nan, 1.0], "f": [1e300, 2.5e300], "g": [-0.1, -2.0**40 - 0.5, 2.0**80], "h": [5e-324, 1e-300], "i": [None, 2.0], "j": [2.0**27, 2.0**99, -(2.0**71)]}
+    rows = [(k, "x", v, 1, "ADD") for k, vs in groups.items() for v in vs]
+    got = {r["k"]: r["m_sum"] for r in cube.rollup(cube.base(facts(spark, rows).repartition(3), SPEC), ["k"], SPEC).collect()}
+    assert got.pop("c") == inf and math.isnan(got.pop("d")) and math.isnan(got.pop("e"))
+    assert got == {k: pytest.approx(math.fsum(v or 0.0 for v in groups[k]), rel=2e-16, abs=0) for k in got}
+
+
+def test_segments_without_digits_still_count(spark):
+    e = CubeEngine(spark, fresh(spark, "test"))
+    e.create(SPEC)
+    for op in ("ADD", "ADD", "REMOVE"):
+        e.ingest(SPEC, facts(spark, [("a", "x", 0.1, 1, op), ("b", "x", 7.0, 1, op)]))
+    for cuboid, _ in enumerate(SPEC.lattice(), 1):
+        path = f"{e.root}/{SPEC.name}/cuboid={cuboid}/segment=1"
+        old = [r.asDict() for r in spark.read.parquet(path).drop(*states.sum_columns("m")).collect()]
+        spark.createDataFrame(old, spark.read.parquet(path).drop(*states.sum_columns("m")).schema).write.mode("overwrite").parquet(path)
+    assert [(r["k"], r["cnt"], r["m_sum"]) for r in e.query(SPEC, Query(("k",), order=("k",))).collect()] == [("a", 1, 0.1), ("b", 1, 7.0)]
