@@ -196,8 +196,8 @@ def d21(spark, sf):
 
 @query("d24_sketch_order", "SELECT event_type, row_number() OVER (ORDER BY count(DISTINCT user_id) DESC, event_type) AS place FROM events GROUP BY 1")
 def d24(spark, sf):
-    n = cube.base(table(spark, sf, "events"), TYPES).select("event_type", F.round(-F.hll_sketch_estimate("user_id_hll")).alias("e"))
-    return keys.order_ids(n, ["e", "event_type"], "place").select("event_type", F.col("place").cast("long").alias("place"))
+    e = table(spark, sf, "events")
+    return cube.distinct_order(cube.base(e, TYPES), e, ["event_type"], "user_id").select("event_type", F.col("place").cast("long").alias("place"))
 
 
 @query("d29_bag_scale", f"SELECT word, CAST(count(*) * 0.5 AS DOUBLE) AS n FROM {WORDS} WHERE word <> '' GROUP BY 1")

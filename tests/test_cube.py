@@ -187,3 +187,31 @@ def test_segments_without_digits_still_count(spark):
         old = [r.asDict() for r in spark.read.parquet(path).drop(*states.sum_columns("m")).collect()]
         spark.createDataFrame(old, spark.read.parquet(path).drop(*states.sum_columns("m")).schema).write.mode("overwrite").parquet(path)
     assert [(r["k"], r["cnt"], r["m_sum"]) for r in e.query(SPEC, Query(("k",), order=("k",))).collect()] == [("a", 1, 0.1), ("b", 1, 7.0)]
+
+
+def test_sketch_order_is_exact_where_estimates_are_near(spark, tmp_path):
+    import duckdb
+
+    from lattika.queries import ORACLE_SQL, QUERIES
+
+    counts = {"a": 20000, "b": 20003, "c": 20001, "d": 20002, "e": 20000, "f": 900, "g": 901, None: 20000, "h": 70, "i": 2, "k": 1}
+    rows = spark.createDataFrame([(t, n) for t, n in counts.items()], "event_type string, n long")
+    rows = rows.select("event_type", F.explode(F.sequence(F.lit(1), "n")).alias("user_id")).withColumn("user_id", F.col("user_id") * 7919 + F.pmod(F.hash("event_type"), F.lit(5)))
+    # Users that are missing: beside two others, and alone.
+    rows = rows.union(spark.createDataFrame([("i", None), ("l", None), ("k", None), ("k", 1), ("h", None)], rows.schema))
+    rows.withColumn("value", F.lit(1.0)).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = {r["event_type"]: r["place"] for r in QUERIES["d24_sketch_order"](spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and got == dict(c.sql(ORACLE_SQL["d24_sketch_order"]).fetchall())
+
+
+def test_distinct_order_of_several_dimensions(spark):
+    sizes = {("a", "x"): 3000, ("a", None): 3001, (None, "x"): 3000, (None, None): 3000, ("b", "y"): 40000, ("c", "y"): 12}
+    rows = [(k, c, 1.0, u, "ADD") for (k, c), n in sizes.items() for u in range(n)]
+    cells = cube.base(facts(spark, rows), SPEC)
+    # Cells that stand alone need no facts: their sketches decide.
+    near = facts(spark, [r for r in rows if r[0] not in ("b", "c")])
+    got = [(r["k"], r["c"]) for r in cube.distinct_order(cells, near, ["k", "c"], "u").orderBy("place").collect()]
+    assert got == [("b", "y"), ("a", None), ("a", "x"), (None, "x"), (None, None), ("c", "y")]
+    assert cube.distinct_order(cells.limit(0), near, ["k", "c"], "u").count() == 0
